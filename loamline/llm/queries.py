@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import exact, shard
+from loamline.llm import exact, pack, shard
 from loamline.llm.common import table
 
 SHARDS = 40
+SEQUENCE_TOKENS = 4096
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, cap=pack.Capacity(tokens=SEQUENCE_TOKENS))
 
 
 def op7_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +32,7 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_vector_best_fit": op3_vector_best_fit,
     "op7_weighted_hash_tree": op7_weighted_hash_tree,
     "op9_grace_dedup": op9_grace_dedup,
 }
