@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import exact, pack, shard
+from loamline.llm import exact, pack, shard, simhash
 from loamline.llm.common import table
 
 SHARDS = 40
@@ -23,6 +23,10 @@ def op3_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, cap=pack.Capacity(tokens=SEQUENCE_TOKENS))
 
 
+def op4_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), k=3, max_bits=3)
+
+
 def op7_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"), shard.even_tree(SHARDS), shard.even_tree(SHARDS + 1))
 
@@ -33,6 +37,7 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_vector_best_fit": op3_vector_best_fit,
+    "op4_simhash_byte_index": op4_simhash_byte_index,
     "op7_weighted_hash_tree": op7_weighted_hash_tree,
     "op9_grace_dedup": op9_grace_dedup,
 }
