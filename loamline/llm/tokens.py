@@ -1,20 +1,29 @@
 """Exact token ids of whole texts by a public tokenizer, a white-space chunk at a time.
 
 The tokenizer's pre-tokenizer never joins characters across white space and
-drops the white space itself, so a text's ids are its chunks' ids in order.
-Most chunks repeat, so each task encodes a distinct chunk once.
+drops the white space itself, so a text's ids are its chunks' ids in order; nor
+does it join letters and punctuation, and it lower-cases. So a chunk of letters
+with ASCII punctuation behind it is the word and the punctuation, either in
+order, and most words repeat: each task encodes a distinct word once.
 """
 
 from __future__ import annotations
 
+import string
+from collections.abc import Iterator
+
+import numpy as np
+
 #: Distinct chunks a task remembers before it starts anew.
-MEMORY = 1_000_000
+MEMORY = 400_000
 #: Longer chunks are encoded each time.
 LONG = 64
+#: Characters that are split up at a time, and words that are encoded in one call.
+AT_ONCE, WORDS = 1 << 20, 512
 
 
 class ChunkEncoder:
-    """ids as little-endian unsigned 32-bit bytes. path: a tokenizers JSON file whose pre-tokenizer drops white space."""
+    """ids as little-endian unsigned 32-bit bytes. path: a tokenizers JSON file of the kind described above, with an end-of-word suffix."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -23,26 +32,68 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        # Only white space that every part of the tokenizer counts as such.
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        new = list({c for chunks in split for c in chunks if c not in known})
-        extra: dict[str, bytes] = {}
-        for c, ids in zip(new, self._encode(new)):
-            if len(c) <= LONG:
-                known[c] = ids
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone, many to a call; the end-of-word tokens tell them apart."""
+        out = []
+        parts = [words[at : at + WORDS] for at in range(0, len(words), WORDS)]
+        for part, found in zip(parts, self._encode([" ".join(p) for p in parts])):
+            ids = np.frombuffer(found, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                out += self._encode(part)
+                continue
+            lo = 0
+            for hi in ends:
+                out.append(found[4 * lo : 4 * hi])
+                lo = hi
+        return out
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Enter what is new into the memory; what is too long for it is returned."""
+        known, words, whole, parts = self.known, {}, [], {}
+        for c in chunks:
+            word = c.rstrip(string.punctuation)
+            if len(c) <= LONG and word.isalpha():
+                tail = c[len(word) :]
+                if max(word) <= "ÿ":
+                    word = word.lower()
+                parts[c] = word, tail
+                if word not in known:
+                    words[word] = True
+                if tail and tail not in known:
+                    whole.append(tail)
             else:
-                extra[c] = ids
-        if extra:
-            return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+                whole.append(c)
+        new = list(words)
+        known.update(zip(new, self._words(new)))
+        whole = list(dict.fromkeys(whole))
+        rest = dict(zip(whole, self._encode(whole)))
+        known.update((c, ids) for c, ids in rest.items() if len(c) <= LONG)
+        known[""] = b""
+        known.update((c, known[word] + known[tail]) for c, (word, tail) in parts.items())
+        return {c: ids for c, ids in rest.items() if len(c) > LONG}
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and (not split or size + len(texts[at]) <= AT_ONCE):
+                # Only white space that every part of the tokenizer counts as such.
+                split.append(texts[at].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                size += len(texts[at])
+                at += 1
+            known = self.known
+            if len(known) > MEMORY:
+                known.clear()
+            new = set().union(*split).difference(known)
+            extra = self._learn(new) if new else {}
+            for chunks in split:
+                yield b"".join([known[c] if c in known else extra[c] for c in chunks] if extra else map(known.__getitem__, chunks))
