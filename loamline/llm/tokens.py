@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Distinct chunks a task remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 1_000_000
 #: Longer chunks are encoded each time.
 LONG = 64
 #: Characters that are split up at a time, and words that are encoded in one call.
