@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import exact, pack, shard, simhash
+from loamline.llm import exact, pack, quality, shard, simhash, toxicity
 from loamline.llm.common import table
 
 SHARDS = 40
@@ -27,10 +27,18 @@ def op4_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), k=3, max_bits=3)
 
 
+def op5_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op7_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"), shard.even_tree(SHARDS), shard.even_tree(SHARDS + 1))
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,9 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_vector_best_fit": op3_vector_best_fit,
     "op4_simhash_byte_index": op4_simhash_byte_index,
+    "op5_factorisation_machine": op5_factorisation_machine,
     "op7_weighted_hash_tree": op7_weighted_hash_tree,
+    "op8_compression_toxicity": op8_compression_toxicity,
     "op9_grace_dedup": op9_grace_dedup,
 }
 
