@@ -3,11 +3,11 @@
 A toxic text is ordinary but for some of its words, so the toxic dictionary is
 trained on the spans of toxic texts that ordinary texts all but lack: the pieces
 (character sequences of a word) found in a far greater share of toxic texts. The
-ordinary dictionary is trained on ordinary words. Either dictionary is followed
-by the same ordinary tail, so that a window without toxic spans costs nearly the
-same under both. A window of a few words is compressed behind a fixed carrier
-from that tail, which both dictionaries hold: without it, zstandard would store
-short windows as they are. A text's largest differences of window lengths, how
+ordinary dictionary is trained on ordinary words. The toxic dictionary goes in
+front of the ordinary one and padding of its size takes its place in the other,
+so that a window without toxic spans costs the same under both. A window of a
+few words is compressed behind a fixed carrier that both dictionaries hold:
+without it, zstandard would store short windows as they are. A text's largest differences of window lengths, how
 many windows exceed two thresholds, and how many windows it has give its score
 by a logistic regression fitted on texts that the dictionaries have not seen.
 """
@@ -15,6 +15,8 @@ by a logistic regression fitted on texts that the dictionaries have not seen.
 from __future__ import annotations
 
 import re
+import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,18 +31,23 @@ from loamline.llm.labelled import SAMPLE_ROWS, Logistic, fold, sample
 #: Words per window and from one window to the next; bytes of a dictionary's own part; zstandard's level.
 WINDOW, STEP, OWN_BYTES, LEVEL = 4, 2, 4096, 7
 #: Lengths of pieces; the least share of toxic texts that hold one; how many times as frequent it must be there.
-PIECES, SHARE, RATIO = (5, 6, 7), 0.03, 20
+PIECES, SHARE, RATIO = (5, 6, 7), 0.015, 20
 #: Differences in bytes that count a window.
 THRESHOLDS = (3, 4)
 
 
+_SPACED = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
+
+
 def _words(text: str) -> list[bytes]:
-    return text.lower().encode().split()
+    """In lower case, cut at white space and ASCII punctuation."""
+    return text.lower().encode().translate(_SPACED).split()
 
 
 def _pieces(word: bytes) -> list[bytes]:
+    """The character sequences of some lengths within a word and its two spaces, and all of it."""
     w = b" " + word + b" "
-    return [w[i : i + k] for k in PIECES for i in range(len(w) - k + 1)]
+    return [*(w[i : i + k] for k in PIECES if k < len(w) for i in range(len(w) - k + 1)), w]
 
 
 def _dictionary(spans: list[bytes], size: int) -> bytes:
@@ -67,9 +74,20 @@ class Dictionaries:
         return make(self.ordinary).compress, make(self.toxic).compress, self.ordinary[-64:]
 
 
-def train_dictionaries(texts: list[tuple[list[bytes], int]], seed: int = 1) -> Dictionaries:
-    """texts: (words, toxic or not). Repeated texts count once."""
-    texts = list({(b" ".join(w), y): (w, y) for w, y in texts}.values())
+def _different(texts: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes], int]]:
+    """One text of those that share the least hash of their five-word shingles under any of three hashes: near copies would make every rare word of a text look telling."""
+    seen, out = set(), []
+    for words, y in texts:
+        h = np.fromiter((zlib.crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), np.uint64)
+        least = [(k, int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((1, 2654435761, 2246822519))]
+        if not any(x in seen for x in least):
+            out.append((words, y))
+        seen.update(least)
+    return out
+
+
+def _counts(texts: list[tuple[list[bytes], int]]) -> tuple[Counter, Counter]:
+    """In how many ordinary and toxic texts each piece occurs."""
     count, cache = (Counter(), Counter()), {}
     for words, y in texts:
         found: set[bytes] = set()
@@ -78,19 +96,28 @@ def train_dictionaries(texts: list[tuple[list[bytes], int]], seed: int = 1) -> D
                 cache[w] = _pieces(w[:64])
             found.update(cache[w])
         count[y].update(found)
+    return count
+
+
+def train_dictionaries(texts: list[tuple[list[bytes], int]], count: tuple[Counter, Counter], left_out: tuple[Counter, Counter] = (Counter(), Counter()), seed: int = 1) -> Dictionaries:
+    """texts: (words, toxic or not), of which none is a near copy of another (see _different). count less left_out: their pieces."""
     n = [max(1, sum(y == k for _, y in texts)) for k in (0, 1)]
-    need = max(4, SHARE * n[1])
-    telling = {p for p, c in count[1].items() if c >= need and c / n[1] > RATIO * (count[0][p] + 0.5) / n[0]}
+    need = max(5, SHARE * n[1])
+    telling = set()
+    for p, c in count[1].items():
+        c -= left_out[1][p]
+        if c >= need and c / n[1] > RATIO * (count[0][p] - left_out[0][p] + 0.5) / n[0]:
+            telling.add(p)
     spans, ordinary = [], []
     for words, y in texts:
         if not y:
             ordinary += words[::3]
             continue
         for word in words:
-            if any(p in telling for p in cache[word]):
+            if not telling.isdisjoint(_pieces(word[:64])):
                 w = b" " + word[:64] + b" "
                 covered = bytearray(len(w))
-                for k in PIECES:
+                for k in (*PIECES, len(w)):
                     for i in range(len(w) - k + 1):
                         if w[i : i + k] in telling:
                             covered[i : i + k] = b"1" * k
@@ -99,7 +126,7 @@ def train_dictionaries(texts: list[tuple[list[bytes], int]], seed: int = 1) -> D
     spans = [spans[i] for i in draw(len(spans))[:40_000]]
     ordinary = [b" " + ordinary[i] + b" " for i in draw(len(ordinary))[:400_000]]
     common = _dictionary(ordinary, 2 * OWN_BYTES)
-    return Dictionaries(_dictionary(spans, OWN_BYTES) + common[OWN_BYTES:], common)
+    return Dictionaries(_dictionary(spans, OWN_BYTES) + common, bytes(OWN_BYTES) + common)
 
 
 def features(words: list[bytes], compress) -> list[float]:
@@ -126,16 +153,18 @@ class ToxicityModel:
 
 def fit(rows: list[tuple[str, int]], folds: int = 3) -> ToxicityModel:
     """rows: (text, toxic). The regression sees each text under dictionaries trained without its fold; the dictionaries that stay are trained on all. Without toxic or without ordinary rows every score is 0."""
-    texts = [(_words(t), y) for t, y in rows]
+    texts = _different([(_words(t), y) for t, y in rows])
     y = np.array([y for _, y in texts])
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, None)
     x = np.empty((len(texts), 5 + len(THRESHOLDS)))
+    parts = [_counts(texts[k::folds]) for k in range(folds)]
+    total = (sum((p[0] for p in parts), Counter()), sum((p[1] for p in parts), Counter()))
     for k in range(folds):
-        compress = train_dictionaries([t for i, t in enumerate(texts) if i % folds != k]).compressors()
+        compress = train_dictionaries([t for i, t in enumerate(texts) if i % folds != k], total, parts[k]).compressors()
         for i in range(k, len(texts), folds):
             x[i] = features(texts[i][0], compress)
-    return ToxicityModel(train_dictionaries(texts), Logistic(x, y))
+    return ToxicityModel(train_dictionaries(texts, total), Logistic(x, y))
 
 
 def _scored(model: ToxicityModel):
