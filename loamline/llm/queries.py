@@ -6,21 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import exact, pack, quality, shard, simhash, toxicity
+from loamline.llm import decontam, exact, pack, quality, shard, simhash, toxicity
 from loamline.llm.common import table
 
 SHARDS = 40
 SEQUENCE_TOKENS = 4096
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, cap=pack.Capacity(tokens=SEQUENCE_TOKENS))
+    return pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, cap=pack.Capacity(tokens=SEQUENCE_TOKENS))
 
 
 def op4_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +48,7 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_vector_best_fit": op3_vector_best_fit,
     "op4_simhash_byte_index": op4_simhash_byte_index,
     "op5_factorisation_machine": op5_factorisation_machine,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_spaced_seed_decontamination": decontam.oracle_sql(),
     "op9_grace_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
