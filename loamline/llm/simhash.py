@@ -38,9 +38,9 @@ def quads_of_eight() -> list[tuple[int, ...]]:
     return [tuple(first), tuple(second), *(a + b for m, n in zip(match(first), match(second)) for a in m for b in n)]
 
 
-def drawn_quads(n_bytes: int, n: int, seed: int = 1) -> list[tuple[int, ...]]:
-    """n distinct quads of positions, drawn evenly, for fingerprints whose count isn't guaranteed."""
-    every = list(combinations(range(n_bytes), 4))
+def drawn_sets(n_bytes: int, width: int, n: int, seed: int = 1) -> list[tuple[int, ...]]:
+    """n distinct sets of width (at most 4) positions, drawn evenly, for fingerprints whose count isn't guaranteed."""
+    every = list(combinations(range(n_bytes), width))
     return [every[i] for i in np.random.default_rng(seed).permutation(len(every))[:n]]
 
 
@@ -100,20 +100,21 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
 # ---------------------------------------------------------------- index and links
 
 
-def _postings(quads: list[tuple[int, ...]]) -> Callable:
-    """key: the quad's number and its four bytes."""
+def _postings(sets: list[tuple[int, ...]]) -> Callable:
+    """key: the set's number and its bytes."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.array(quads)
+        at = np.array(sets)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, len(ids), 4096):
                 part = ids[lo : lo + 4096]
                 fp = np.frombuffer(b"".join(b.column(1)[lo : lo + 4096].to_pylist()), np.uint8).reshape(len(part), -1).astype(np.int64)
-                four = fp[:, at]
-                key = (np.arange(len(quads)) << 32) | (four[..., 0] << 24) | (four[..., 1] << 16) | (four[..., 2] << 8) | four[..., 3]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part, len(quads)))], schema=schema)
+                key = np.broadcast_to(np.arange(len(sets)) << 32, (len(part), len(sets))).copy()
+                for place in range(at.shape[1]):
+                    key |= fp[:, at[:, place]] << 8 * place
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part, len(sets)))], schema=schema)
 
     return run
 
@@ -193,9 +194,9 @@ def _links(min_shared: int, max_bits: int) -> Callable:
     return run
 
 
-def links(prints: DataFrame, quads: list[tuple[int, ...]], min_shared: int, max_bits: int) -> DataFrame:
+def links(prints: DataFrame, sets: list[tuple[int, ...]], min_shared: int, max_bits: int) -> DataFrame:
     """(u, v): links that span the near pairs of prints (id long, index binary, check binary), ids being distinct. index holds the bytes that are posted and tallied, check the bits that decide (a multiple of 8 bytes)."""
-    keys = prints.select("id", "index").mapInArrow(_postings(quads), "key long, id long")
+    keys = prints.select("id", "index").mapInArrow(_postings(sets), "key long, id long")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keys.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -231,8 +232,8 @@ def near_groups(docs: DataFrame, k: int = 3, max_bits: int = 3, id_col: str = "d
 
 #: Bytes posted (over pairs of words) and lanes of 64 bits verified (over the shingles proper).
 POSTED_LANES, CHECKED_LANES = 2, 16
-#: Position quads that are posted, of 1820.
-QUADS = 80
+#: Position sets that are posted, of 560, and their width. Each list holds about 1 / 256^width of the corpus: beyond some 10^8 texts take a width of 4 and three times as many.
+SETS, WIDTH = 96, 3
 
 
 def differing_bits(similarity: float, bits: int) -> int:
@@ -254,15 +255,15 @@ def _wide_fingerprints(k: int, text_at: int, names: list[str]) -> Callable:
     return run
 
 
-def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group of near copies the one with the least id (null last; of equal ids, one).
 
     Two texts are near copies if their SimHash fingerprints over sets of k-word
     shingles differ in no more bits than texts of that Jaccard similarity do;
     groups are connected. Candidates come from the byte-position index of a
     second fingerprint over word pairs, which near copies share more bytes of;
-    at this similarity no count of shared bytes is guaranteed, so the quads
-    posted are a draw that holds a pair at the limit in about 39 of 40 cases.
+    at this similarity no count of shared bytes is guaranteed, so the positions
+    posted are a draw; the README has the measured recall.
     Null texts count as empty; texts without words are near copies of each
     other. An empty table gives no rows.
     """
@@ -272,7 +273,7 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     rows = stored(numbered.mapInArrow(_wide_fingerprints(k, docs.columns.index(text_col), [*docs.columns, row, index, check]), schema), "near")
     slim = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"), F.col(check).alias("check"), F.col(index).alias("index"))
     nodes = stored(slim.groupBy("check", "index").agg(F.min("row").alias("id")), "nodes")
-    found = components(links(nodes, drawn_quads(8 * POSTED_LANES, QUADS), 4, differing_bits(similarity, 64 * CHECKED_LANES)))
+    found = components(links(nodes, drawn_sets(8 * POSTED_LANES, width, SETS), width, differing_bits(similarity, 64 * CHECKED_LANES)))
     rooted = nodes.join(found, "id", "left").select("check", "index", F.coalesce("root", "id").alias("root"))
     members = slim.join(rooted, ["check", "index"]).select("row", "order", "root")
     stays = members.groupBy("root").agg(F.min("order").alias("first")).select(F.col("first.row").alias(row))
