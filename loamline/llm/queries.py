@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import decontam, exact, pack, quality, shard, simhash, toxicity
+from loamline.llm import decontam, exact, html, pack, quality, shard, simhash, toxicity, wordpiece
 from loamline.llm.common import table
 
 SHARDS = 40
@@ -19,6 +19,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +39,10 @@ def op5_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op6_linear_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), wordpiece.read_vocabulary(tokenizer("byte_bpe_50k.tiktoken")))
+
+
 def op7_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"), shard.even_tree(SHARDS), shard.even_tree(SHARDS + 1))
 
@@ -48,10 +56,12 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_block_tree_extraction": op1_block_tree_extraction,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_vector_best_fit": op3_vector_best_fit,
     "op4_simhash_byte_index": op4_simhash_byte_index,
     "op5_factorisation_machine": op5_factorisation_machine,
+    "op6_linear_wordpiece": op6_linear_wordpiece,
     "op7_weighted_hash_tree": op7_weighted_hash_tree,
     "op8_compression_toxicity": op8_compression_toxicity,
     "op9_grace_dedup": op9_grace_dedup,
