@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loamline.llm.labelled import SAMPLE_ROWS, Logistic, fold, sample
 
 #: Words per window and from one window to the next; bytes of a dictionary's own part; zstandard's level.
-WINDOW, STEP, OWN_BYTES, LEVEL = 4, 2, 4096, 7
+WINDOW, STEP, OWN_BYTES, LEVEL = 4, 3, 4096, 5
 #: Lengths of pieces; the least share of toxic texts that hold one; how many times as frequent it must be there.
 PIECES, SHARE, RATIO = (5, 6, 7), 0.015, 20
 #: Differences in bytes that count a window.
