@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a classifier is fitted on, at most.
-SAMPLE_ROWS = 5000
+SAMPLE_ROWS = 6000
 
 
 def fold(doc_id: Column) -> Column:

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from loamline.llm.labelled import SAMPLE_ROWS, Logistic, fold, sample
 
 #: Words per window and from one window to the next; bytes of a dictionary's own part; zstandard's level.
-WINDOW, STEP, OWN_BYTES, LEVEL = 4, 3, 4096, 5
-#: Lengths of pieces; the least share of toxic texts that hold one; how many times as frequent it must be there.
-PIECES, SHARE, RATIO = (5, 6, 7), 0.015, 20
+WINDOW, STEP, OWN_BYTES, LEVEL = 4, 2, 4096, 3
+#: Lengths of pieces; the least number and share of toxic texts that hold one; how many times as frequent it must be there.
+PIECES, LEAST, SHARE, RATIO = (5, 6, 7), 5, 0.015, 20
 #: Differences in bytes that count a window.
 THRESHOLDS = (3, 4)
 
@@ -74,46 +74,58 @@ class Dictionaries:
         return make(self.ordinary).compress, make(self.toxic).compress, self.ordinary[-64:]
 
 
-def _different(texts: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes], int]]:
+#: A training text: its words joined by spaces, and whether it is toxic.
+Text = tuple[bytes, int]
+
+
+def _different(texts: list[Text]) -> list[Text]:
     """One text of those that share the least hash of their five-word shingles under any of three hashes: near copies would make every rare word of a text look telling."""
     seen, out = set(), []
-    for words, y in texts:
+    for text, y in texts:
+        words = text.split()
         h = np.fromiter((zlib.crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), np.uint64)
         least = [(k, int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((1, 2654435761, 2246822519))]
         if not any(x in seen for x in least):
-            out.append((words, y))
+            out.append((text, y))
         seen.update(least)
     return out
 
 
-def _counts(texts: list[tuple[list[bytes], int]]) -> tuple[Counter, Counter]:
-    """In how many ordinary and toxic texts each piece occurs."""
-    count, cache = (Counter(), Counter()), {}
-    for words, y in texts:
+def _counts(texts: list[Text], folds: int) -> list[tuple[Counter, Counter]]:
+    """For each fold (every folds-th text): in how many ordinary and toxic texts each piece occurs. Only pieces of LEAST toxic texts or more are counted."""
+    toxic: Counter = Counter()
+    for text, y in texts:
+        if y:
+            toxic.update({p for w in set(text.split()) for p in _pieces(w[:64])})
+    worth = {p for p, c in toxic.items() if c >= LEAST}
+    del toxic
+    out = [(Counter(), Counter()) for _ in range(folds)]
+    of_word: dict[bytes, tuple] = {}
+    for i, (text, y) in enumerate(texts):
         found: set[bytes] = set()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = _pieces(w[:64])
-            found.update(cache[w])
-        count[y].update(found)
-    return count
+        for w in set(text.split()):
+            if w not in of_word:
+                of_word[w] = tuple(worth.intersection(_pieces(w[:64])))
+            found.update(of_word[w])
+        out[i % folds][y].update(found)
+    return out
+
+
+def _sum(parts: list[tuple[Counter, Counter]]) -> tuple[Counter, Counter]:
+    return sum((p[0] for p in parts), Counter()), sum((p[1] for p in parts), Counter())
 
 
-def train_dictionaries(texts: list[tuple[list[bytes], int]], count: tuple[Counter, Counter], left_out: tuple[Counter, Counter] = (Counter(), Counter()), seed: int = 1) -> Dictionaries:
-    """texts: (words, toxic or not), of which none is a near copy of another (see _different). count less left_out: their pieces."""
+def train_dictionaries(texts: list[Text], count: tuple[Counter, Counter], seed: int = 1) -> Dictionaries:
+    """texts, of which none is a near copy of another (see _different), and the counts of their pieces."""
     n = [max(1, sum(y == k for _, y in texts)) for k in (0, 1)]
-    need = max(5, SHARE * n[1])
-    telling = set()
-    for p, c in count[1].items():
-        c -= left_out[1][p]
-        if c >= need and c / n[1] > RATIO * (count[0][p] - left_out[0][p] + 0.5) / n[0]:
-            telling.add(p)
+    need = max(LEAST, SHARE * n[1])
+    telling = {p for p, c in count[1].items() if c >= need and c / n[1] > RATIO * (count[0][p] + 0.5) / n[0]}
     spans, ordinary = [], []
-    for words, y in texts:
+    for text, y in texts:
         if not y:
-            ordinary += words[::3]
+            ordinary += text.split()[::6]
             continue
-        for word in words:
+        for word in text.split():
             if not telling.isdisjoint(_pieces(word[:64])):
                 w = b" " + word[:64] + b" "
                 covered = bytearray(len(w))
@@ -124,7 +136,7 @@ def train_dictionaries(texts: list[tuple[list[bytes], int]], count: tuple[Counte
                 spans += [w[m.start() : m.end()] for m in re.finditer(b"1+", bytes(covered))]
     draw = np.random.default_rng(seed).permutation
     spans = [spans[i] for i in draw(len(spans))[:40_000]]
-    ordinary = [b" " + ordinary[i] + b" " for i in draw(len(ordinary))[:400_000]]
+    ordinary = [b" " + ordinary[i] + b" " for i in draw(len(ordinary))[:200_000]]
     common = _dictionary(ordinary, 2 * OWN_BYTES)
     return Dictionaries(_dictionary(spans, OWN_BYTES) + common, bytes(OWN_BYTES) + common)
 
@@ -153,18 +165,18 @@ class ToxicityModel:
 
 def fit(rows: list[tuple[str, int]], folds: int = 3) -> ToxicityModel:
     """rows: (text, toxic). The regression sees each text under dictionaries trained without its fold; the dictionaries that stay are trained on all. Without toxic or without ordinary rows every score is 0."""
-    texts = _different([(_words(t), y) for t, y in rows])
+    texts = _different([(b" ".join(_words(t)), y) for t, y in rows])
     y = np.array([y for _, y in texts])
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, None)
+    parts = _counts(texts, folds)
     x = np.empty((len(texts), 5 + len(THRESHOLDS)))
-    parts = [_counts(texts[k::folds]) for k in range(folds)]
-    total = (sum((p[0] for p in parts), Counter()), sum((p[1] for p in parts), Counter()))
     for k in range(folds):
-        compress = train_dictionaries([t for i, t in enumerate(texts) if i % folds != k], total, parts[k]).compressors()
+        rest = [t for i, t in enumerate(texts) if i % folds != k]
+        compress = train_dictionaries(rest, _sum(parts[:k] + parts[k + 1 :])).compressors()
         for i in range(k, len(texts), folds):
-            x[i] = features(texts[i][0], compress)
-    return ToxicityModel(train_dictionaries(texts, total), Logistic(x, y))
+            x[i] = features(texts[i][0].split(), compress)
+    return ToxicityModel(train_dictionaries(texts, _sum(parts)), Logistic(x, y))
 
 
 def _scored(model: ToxicityModel):
