@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import decontam, exact, html, pack, quality, shard, simhash, toxicity, wordpiece
+from loamline.llm import decontam, exact, html, pack, pii, quality, shard, simhash, toxicity, wordpiece
 from loamline.llm.common import table
 
 SHARDS = 40
@@ -55,6 +55,10 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_tree_extraction": op1_block_tree_extraction,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_weighted_hash_tree": op7_weighted_hash_tree,
     "op8_compression_toxicity": op8_compression_toxicity,
     "op9_grace_dedup": op9_grace_dedup,
+    "op10_bootstrapped_pii": op10_bootstrapped_pii,
 }
 
 ORACLES: dict[str, str] = {
