@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from loamline.plans import relational, retrieval, scalars
+
+QUERIES = {**scalars.QUERIES, **relational.QUERIES, **retrieval.QUERIES}
+ORACLES = {**scalars.ORACLES, **relational.ORACLES, **retrieval.ORACLES}
 FLAGSHIP = "q1_retrieve"
