@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from loamline.llm.common import partitions, stored, text_bytes
 
 #: Distinct content that one table may hold, in bytes.
-TABLE_BYTES = 192 << 20
+TABLE_BYTES = 128 << 20
 #: Spill files per level, as bits of the hash; beyond the last level all bits are used up.
 FAN_BITS, LEVELS = 4, 15
 
@@ -148,7 +148,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, bytes))
+        size += sum(len(x) for x in row if isinstance(x, (bytes, str)))
         if len(held) >= _EMIT or size > 8 << 20:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
             held, size = [], 0

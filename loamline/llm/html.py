@@ -83,11 +83,9 @@ def blocks(page: str) -> list[Block]:
             text.clear()
             linked.clear()
 
-    at, skip = 0, None
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if skip is None and m.start() > at:
+    at = 0
+    while m := _TAG.search(page, at):
+        if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
             if link >= 0:
@@ -96,8 +94,6 @@ def blocks(page: str) -> list[Block]:
         if not m[2]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if skip is not None:
-            continue
         if tag in RAW and not closing:
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -187,7 +183,23 @@ LABELLED = """
 0 1 0 0   10 0.00  20 0.00   5 1.00  1
 0 1 0 0    6 0.00  44 0.00   3 1.00  1
 0 1 1 0    4 0.00  30 0.00   7 1.00  1
+0 1 0 0    4 0.00   6 1.00   2 0.00  1
+0 1 0 0    9 0.00   3 0.80   0 0.00  1
+0 1 0 0   12 0.10   2 1.00   1 0.00  1
+0 1 0 0   14 0.00   1 0.00   5 1.00  1
+0 1 1 0    5 0.00   0 0.00   3 1.00  1
+0 1 0 0    3 0.00   2 1.00   4 1.00  1
+0 1 0 0    2 0.00   8 1.00   0 0.00  1
+0 1 0 1    5 0.00   4 1.00   3 1.00  1
 0 1 0 0   15 0.00   8 0.00   2 1.00  1
+0 1 0 0   30 0.00   0 0.00   0 0.00  1
+0 1 0 0    6 0.00   0 0.00  80 0.00  1
+0 1 1 0    7 0.00   0 0.00   9 0.00  1
+0 0 0 0  200 0.00   0 0.00   0 0.00  1
+0 0 0 0   22 0.00   0 0.00   0 0.00  1
+0 0 0 0   60 0.02   0 0.00  20 0.00  1
+0 0 0 0   35 0.03   3 1.00   2 1.00  1
+0 0 0 0   90 0.10   4 1.00   1 1.00  1
 0 0 0 0   80 0.00   7 0.00  65 0.00  1
 0 0 0 0   24 0.00  80 0.00  31 0.05  1
 0 0 0 0   40 0.10  12 0.00   5 1.00  1

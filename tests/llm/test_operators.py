@@ -1,0 +1,368 @@
+"""Each operator against brute force, an exact round trip, or held-out accuracy."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from loamline.llm import components, decontam, exact, html, labelled, pack, pii, queries, shard, simhash, wordpiece
+from loamline.llm.common import table
+from loamline.llm.tokens import ChunkEncoder
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, sf_dir, duck, name):
+    from conftest import canonical
+
+    df = queries.QUERIES[name](spark, sf_dir)
+    got = duck.execute(queries.ORACLES[name])
+    names = [d[0] for d in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(got.fetchall(), names)
+
+
+# ---------------------------------------------------------------- 1
+
+
+def test_extraction(spark, sf_dir):
+    import html as entities
+
+    pages = {r.page_id: r.html for r in table(spark, sf_dir, "pages").collect()}
+    for r in queries.op1_block_tree_extraction(spark, sf_dir).collect():
+        body = pages[r.page_id].split("<article>")[1].split("</article>")[0]
+        parts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", body)]
+        assert r.text == "\n".join(p for p in parts if p)
+
+
+def test_extraction_of_other_pages():
+    tree = html.grow(html.labelled())
+    body = "A long enough paragraph that tells the story of the day, with a comma and a good many words to be read by all."
+    page = f"""<html><head><title>No</title><script>if (a<b) "<p>no</p>"</script></head><body class="home">
+      <header><h1>Site name</h1></header><div id="menu-main"><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div>
+      <div class="cookie-notice">We use cookies to make this site work, and for nothing else at all, as we say here at length for once.</div>
+      <article><header><h1>Title &amp; more</h1></header><p>{body}<p>Short.</p><p>See <a href=z>this</a> one, too.</p><aside>Beside the point, in some more words than one would think</aside>
+      <form><p>Name: <input name=n> and tell us what you think about it in your own words</p></form></article>
+      <section id="comments"><h3>Comments</h3><p>{body}</p></section><div class="sidebar"><p>{body}</p></div><footer><p>{body}</p></footer>
+      <div style="display: none"><p>{body}</p></div><!-- <p>{body}</p> --></body></html>"""
+    assert html.main_text(page, tree)[0] == f"Title & more\n{body}\nShort.\nSee this one, too."
+    plain = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div>{body}</div><div>{body}<br>{body}</div><div><a href=3>About</a></div></body>"
+    assert html.main_text(plain, tree)[0] == f"{body}\n{body} {body}"
+
+
+# ---------------------------------------------------------------- 2
+
+
+def test_substituted_passage(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    item = rng.sample(words, 40)
+    swapped = [f"x{i}" if i % 6 == 5 else w for i, w in enumerate(item)]
+    docs = [(1, " ".join(rng.sample(words, 50) + item + rng.sample(words, 50))), (2, " ".join(rng.sample(words, 50) + swapped)), (3, " ".join(item[:16] + rng.sample(words, 30))), (4, " ".join(item[:9] + rng.sample(words, 60))), (5, " ".join(rng.sample(words, 200))), (6, "! ".join(item).upper())]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {1, 2, 3, 6}
+
+
+# ---------------------------------------------------------------- 3
+
+
+def test_ids_are_the_tokenizers(texts):
+    path = queries.tokenizer("word_bpe_49k.json")
+    encoder = ChunkEncoder(path)
+    odd = ["", "It's  a test’s é \n<|endoftext|>x <|end of|> 你好　ß", "a\x0bb\x1fc d 'S 12 3", "ÉCOLE, Éé. İx ǅ word... x² ½. ª º’ Ωσς ΑΣ. é. ́. ' '' s's ", "don't!! we've (it'll) \"no\"", "x" * 5000, "ſ K Å"]
+    every = odd + list(texts.values())
+    want = encoder.tokenizer.encode_batch(every, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.texts(every)] == [e.ids for e in want]
+
+
+def test_packing(spark, sf_dir, texts):
+    rows = queries.op3_vector_best_fit(spark, sf_dir).toPandas()
+    encoder = ChunkEncoder(queries.tokenizer("word_bpe_49k.json"))
+    ids = {d: [*e.ids, 1] for d, e in zip(texts, encoder.tokenizer.encode_batch(list(texts.values()), add_special_tokens=False))}
+    for d, pieces in rows.sort_values("piece").groupby("doc_id"):
+        assert pieces["piece"].tolist() == list(range(len(pieces))) and pieces["start"].tolist() == [4096 * i for i in range(len(pieces))] and pieces["length"].sum() == len(ids[d])
+        for p in pieces.itertuples():
+            assert p.ids_crc32 == zlib.crc32(np.asarray(ids[d][p.start : p.start + p.length], "<u4").tobytes())
+    for _, seq in rows.sort_values("offset").groupby("sequence_id"):
+        ends = seq["length"].cumsum()
+        assert seq["offset"].tolist() == [0, *ends.tolist()[:-1]] and ends.iloc[-1] <= 4096
+    assert rows["sequence_id"].nunique() <= -(-rows["length"].sum() // 4096) + 1
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_holds_every_capacity(rule):
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(rng.geometric(0.01, 3000), 500)
+    cap = pack.Capacity(tokens=1000, documents=12, attention=400_000, weights=(1.0, 0.5, 0.5), rule=rule)
+    seq, offset = pack.best_fit(lengths, cap)
+    for k in range(seq.max() + 1):
+        own = lengths[seq == k]
+        assert own.sum() <= 1000 and (len(own) == 1 or (len(own) <= 12 and (own**2).sum() <= 400_000))
+        at = np.argsort(offset[seq == k])
+        assert (offset[seq == k][at] == np.concatenate([[0], own[at].cumsum()[:-1]])).all()
+    bound = max(lengths.sum() / 1000, 3000 / 12, (lengths**2).sum() / 400_000)
+    assert seq.max() + 1 <= 1.12 * bound
+
+
+# ---------------------------------------------------------------- 4
+
+
+def _fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
+def _roots(fp: dict, d: int) -> dict:
+    root = {k: k for k in fp}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(fp), 2):
+        if (fp[a] ^ fp[b]).bit_count() <= d and find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: find(k) for k in fp}
+
+
+def test_near_groups(spark, sf_dir, texts):
+    fp = {d: _fingerprint(t) for d, t in texts.items()}
+    root = _roots(fp, 3)
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in queries.op4_simhash_byte_index(spark, sf_dir).collect()} == {(d, f"{fp[d]:016x}", root[d]) for d in fp}
+
+
+def test_index_finds_every_pair(spark, monkeypatch):
+    """Chains and dense groups of fingerprints, with lists so short that they are compared in blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(4)
+    fps = set()
+    for _ in range(12):
+        x = rng.getrandbits(64)
+        for _ in range(25):
+            fps.add(x)
+            for _ in range(rng.randint(1, 4)):
+                x ^= 1 << rng.randrange(64)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    raw = F.unhex(F.lpad(F.hex("id"), 16, "0"))
+    prints = spark.createDataFrame([(x,) for x in signed], "id long").select("id", raw.alias("index"), raw.alias("check"))
+    found = {r.id: r.root for r in components.components(simhash.links(prints, simhash.quads_of_eight(), 5, 3)).collect()}
+    want = _roots(dict(zip(signed, fps)), 3)
+    group = lambda m: sorted(sorted(k for k in m if m[k] == r) for r in set(m.values()))
+    assert group({s: found.get(s, s) for s in signed}) == group(want)
+
+
+def test_quads_hold_any_five():
+    quads = simhash.quads_of_eight()
+    assert len(quads) == 14 and all(any(set(q) <= set(c) for q in quads) for c in itertools.combinations(range(8), 5))
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(5, 5), (7, 6)]
+    root = {x: x for e in links for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(root[a], root[b])
+            changed |= root[a] != m or root[b] != m
+            root[a] = root[b] = m
+    got = {r.id: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    loops = {x for x in root if all(x not in e for e in links if e[0] != e[1])}
+    assert got == {x: r for x, r in root.items() if x not in loops}
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = {i: [rng.choice(words) for _ in range(300)] for i in range(30)}
+    rows = [(i, w) for i, w in base.items()]
+    for i in range(15):  # three words of three hundred changed: similarity 0.9
+        copy = list(base[i])
+        for at in (20, 150, 270):
+            copy[at] = rng.choice(words)
+        rows.append((100 + i, copy))
+    got = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert got == set(base)
+
+
+# ---------------------------------------------------------------- 5 and 8
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op5_factorisation_machine", "quality", 0.99), ("op8_compression_toxicity", "toxic", 0.85)])
+def test_held_out(spark, name, label, least):
+    sf = "/root/testdata/sf0.1"
+    rows = queries.QUERIES[name](spark, sf).join(table(spark, sf, "labels").select("doc_id", F.col(label).alias("y")), "doc_id").where("held_out").toPandas()
+    assert rows["score"].between(0, 1).all() and (rows["doc_id"].map(lambda d: zlib.crc32(str(d).encode()) % 3) == 1).all()
+    rank = rows["score"].rank()
+    pos = rows["y"].sum()
+    auc = (rank[rows["y"] == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(rows) - pos))
+    assert auc >= least
+    if label == "toxic":
+        assert (rows[rows["y"] == 0]["predicted"] == 1).mean() < 0.02
+
+
+def test_linear_score_is_the_sum_over_pairs():
+    from loamline.llm import quality
+
+    rng = np.random.default_rng(0)
+    m = quality.QualityModel(np.zeros((1, 1)), 0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
+    i, x = np.array([2, 5, 11, 17]), rng.normal(size=4)
+    want = 0.3 + m.w[i] @ x + sum(m.v[i[a]] @ m.v[i[b]] * x[a] * x[b] for a, b in itertools.combinations(range(4), 2))
+    assert abs(m.raw_score(i, x)[0] - want) < 1e-9
+
+
+def test_sample_is_bounded_and_leaves_out_held_out_rows(spark, sf_dir):
+    rows = labelled.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", 20, ("doc_id",))
+    assert len(rows) == 20 and all(zlib.crc32(str(r[2]).encode()) % 3 != 1 for r in rows)
+
+
+# ---------------------------------------------------------------- 6
+
+
+def test_token_counts():
+    rng = random.Random(1)
+    for _ in range(200):
+        vocabulary = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12))]
+        automaton, known = wordpiece.Automaton.of(vocabulary), set(vocabulary)
+        for _ in range(40):
+            word = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 12)))
+            n = at = 0
+            while at < len(word):
+                k = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in known), 0)
+                if not k:
+                    n = -1
+                    break
+                n, at = n + 1, at + k
+            assert automaton.pieces(word) == n
+
+
+# ---------------------------------------------------------------- 7
+
+
+def _brute_shard(doc_id, n):
+    draws = []
+    for s in range(n):
+        h = xxhash.xxh64_intdigest((s).to_bytes(8, "little"), xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42))
+        draws.append((-np.log(((h >> 11) + 1) * 2.0**-53), s))
+    return min(draws)[1]
+
+
+def test_shards(spark, sf_dir, texts):
+    rows = queries.op7_weighted_hash_tree(spark, sf_dir).toPandas()
+    for r in rows.itertuples():
+        assert r.shard == _brute_shard(r.doc_id, 40) and r.grown_shard == _brute_shard(r.doc_id, 41)
+        raw = texts[r.doc_id].encode()
+        assert r.size == len(raw) + 16 and r.text_crc32 == zlib.crc32(raw)
+    assert ((rows["shard"] == rows["grown_shard"]) | (rows["grown_shard"] == 40)).all()
+    for _, own in rows.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+
+
+def test_weights_move_only_their_subtree(spark):
+    keys = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    tree = {"a": {"x": {0: 1.0, 1: 2.0}, "y": {2: 1.0}}, "b": {"z": {3: 4.0, 4: 0.0}}}
+    heavier = {"a": {"x": {0: 1.0, 1: 3.0}, "y": {2: 1.0}}, "b": {"z": {3: 4.0, 4: 0.0}}}
+    rows = shard.shard_documents(keys, tree, heavier).toPandas()
+    share = rows["shard"].value_counts(normalize=True)
+    assert 4 not in share and all(abs(share[s] - w / 8) < 0.015 for s, w in {0: 1, 1: 2, 2: 1, 3: 4}.items())
+    moved = rows[rows["shard"] != rows["grown_shard"]]
+    assert len(moved) and (moved["grown_shard"] == 1).all()
+
+
+# ---------------------------------------------------------------- 9
+
+
+def test_hash_table_grows_and_compares_contents():
+    t = exact.ContentTable()
+    for i in range(3000):  # all under one hash: equality is of contents
+        content = str(i % 1500).encode()
+        e = t.find(7, content)
+        if e < 0:
+            assert i < 1500
+            e = t.add(7, content, i)
+        assert t.contents[e] == content
+
+
+def test_grace_recursion():
+    records = [(xxhash.xxh64_intdigest(c), c, 1) for c in (f"text {i % 400}".encode() * 20 for i in range(2000))]
+    tables = list(exact.grace(iter(records), lambda old, new: (old or 0) + new, budget=2000))
+    assert len(tables) > 10 and {c: v for t in tables for c, v in zip(t.contents, t.values)} == {c: 5 for _, c, _ in records}
+
+
+# ---------------------------------------------------------------- 10
+
+_BASE = [re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def _base(text):
+    out = []
+    for k, pattern in enumerate(_BASE):
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if k == 0 or (k == 1 and all(int(x) <= 255 for x in m[0].split("."))) or (k == 2 and 13 <= len(digits) <= 19 and pii.luhn(digits)) or (k == 3 and 9 <= len(digits) <= 15):
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_base_spans(spark, sf_dir, texts):
+    rng = random.Random(2)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a@.1 2-+(5)@.") for _ in range(rng.randint(0, 30)))
+        assert pii.base_spans(text) == _base(text)
+    for r in queries.op10_bootstrapped_pii(spark, sf_dir).collect():
+        base = _base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(pii.spelled(base).encode()).hexdigest() and set(filter(None, pii.spelled(base).split(","))) <= set(r.spans.split(","))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in range(4)]
+
+
+def test_contexts_teach_identifiers(spark):
+    docs = [(i, f"please call me at +1 (555) 555-{1000 + i} today") for i in range(12)] + [(50, "please call me at 555-867-5309 today"), (51, "order number 555-867-5309 again"), (52, "the parts 12345-6789-00 are here"), (53, "mail joe at nothing")]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[50].spans == "phone:18:30" and got[50].n_phone == 0 and got[50].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[51].spans == "phone:13:25" and got[52].spans == "" and got[53].spans == ""
+    assert got[0].spans == "phone:18:35" and got[0].n_phone == 1
+
+
+# ---------------------------------------------------------------- the pipeline
+
+
+def test_pipeline(spark, sf_dir, texts):
+    """Against plain versions of its stages, each on what the one before kept."""
+    import corpus_pipeline
+
+    docs, kept = table(spark, sf_dir, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+        kept[name] = {r.doc_id for r in docs.collect()}
+    firsts = {}
+    for d in sorted(kept["toxicity"]):
+        firsts.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[d]), d)
+    assert kept["exact_dedup"] == set(firsts.values())
+    words = {d: texts[d].lower().split() for d in kept["exact_dedup"]}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    near = kept["simhash_near_dedup"]
+    assert all(jaccard(a, b) < 0.85 for a, b in itertools.combinations(sorted(near), 2))
+    assert all(max(jaccard(d, b) for b in kept["exact_dedup"] if b != d) > 0.6 for d in kept["exact_dedup"] - near)
+    passages = [" ".join(decontam_words(r.text)) for r in table(spark, sf_dir, "benchmark").collect()]
+    assert kept["decontamination"] == {d for d in near if not any(p in " ".join(decontam_words(texts[d])) for p in passages)}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == kept["decontamination"]
+
+
+def decontam_words(text):
+    return re.sub(r"[\W_]+", " ", (text or "").lower()).split()
