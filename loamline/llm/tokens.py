@@ -63,8 +63,9 @@ class ChunkEncoder:
             word = c.rstrip(string.punctuation)
             if len(c) <= LONG and word.isalpha():
                 tail = c[len(word) :]
-                if max(word) <= "ÿ":
-                    word = word.lower()
+                low = word.lower()
+                if low != word and max(word) <= "ÿ":
+                    word = low
                 parts[c] = word, tail
                 if word not in known:
                     words[word] = True
@@ -81,13 +82,25 @@ class ChunkEncoder:
         known.update((c, known[word] + known[tail]) for c, (word, tail) in parts.items())
         return {c: ids for c, ids in rest.items() if len(c) > LONG}
 
+    @staticmethod
+    def _lowered(text: str) -> str:
+        """In lower case if that is certain to be the tokenizer's: in Latin-1, and where it can't make a special token."""
+        if "<|" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
+
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and (not split or size + len(texts[at]) <= AT_ONCE):
                 # Only white space that every part of the tokenizer counts as such.
-                split.append(texts[at].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                split.append(self._lowered(texts[at]).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
                 size += len(texts[at])
                 at += 1
             known = self.known
