@@ -58,28 +58,34 @@ class ChunkEncoder:
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Enter what is new into the memory; what is too long for it is returned."""
-        known, words, whole, parts = self.known, {}, [], {}
+        known, words, whole, parts = self.known, {}, [], []
+        marks, long = string.punctuation, LONG
         for c in chunks:
-            word = c.rstrip(string.punctuation)
-            if len(c) <= LONG and word.isalpha():
-                tail = c[len(word) :]
-                low = word.lower()
-                if low != word and max(word) <= "ÿ":
-                    word = low
-                parts[c] = word, tail
-                if word not in known:
-                    words[word] = True
-                if tail and tail not in known:
-                    whole.append(tail)
-            else:
+            if len(c) > long:
                 whole.append(c)
+            elif c.isalpha() and c.islower():
+                words[c] = None
+            else:
+                word = c.rstrip(marks)
+                if word.isalpha():
+                    tail = c[len(word) :]
+                    low = word.lower()
+                    if low != word and max(word) <= "ÿ":
+                        word = low
+                    parts.append((c, word, tail))
+                    if word not in known:
+                        words[word] = None
+                    if tail and tail not in known:
+                        whole.append(tail)
+                else:
+                    whole.append(c)
         new = list(words)
         known.update(zip(new, self._words(new)))
         whole = list(dict.fromkeys(whole))
         rest = dict(zip(whole, self._encode(whole)))
         known.update((c, ids) for c, ids in rest.items() if len(c) <= LONG)
         known[""] = b""
-        known.update((c, known[word] + known[tail]) for c, (word, tail) in parts.items())
+        known.update((c, known[word] + known[tail]) for c, word, tail in parts)
         return {c: ids for c, ids in rest.items() if len(c) > LONG}
 
     @staticmethod
