@@ -88,8 +88,8 @@ def top_k(requests: DataFrame, chunks: DataFrame, k: int = RAW_K, not_self: bool
 
 
 def one_per_text(candidates: DataFrame, compose: bool = True) -> DataFrame:
-    """Of a request's candidates with equal texts, the nearest."""
-    keyed = candidates.withColumn("text_key", text_key(F.col("text"), compose))
+    """Of a request's candidates with equal texts, the nearest. Texts count by text_key, which is made where it is missing."""
+    keyed = candidates if "text_key" in candidates.columns else candidates.withColumn("text_key", text_key(F.col("text"), compose))
     order = Window.partitionBy("request_id", "text_key").orderBy("distance", "chunk_id")
     return keyed.withColumn("copy", F.row_number().over(order)).where("copy = 1").drop("copy")
 
@@ -103,11 +103,12 @@ def rerank(candidates: DataFrame, k: int = FINAL_K) -> DataFrame:
 
 
 def retrieve(requests: DataFrame, chunks: DataFrame, raw_k: int = RAW_K, final_k: int = FINAL_K, not_self: bool = False, compose: bool = True) -> DataFrame:
-    """Numbered passages of each request: top-k first, then one per text, then re-ranking; so fewer than final_k may remain."""
+    """Numbered passages of each request: top-k first, then one per text, then re-ranking; so fewer than final_k may remain. chunks may hold text_key ready-made; else it is made once per chunk."""
     near = top_k(requests, chunks, raw_k, not_self)
-    texts = chunks.select("chunk_id", "text", "meta", "source_url")
-    # At most raw_k rows per request look up their texts.
-    return rerank(one_per_text(near.join(texts, "chunk_id"), compose), final_k)
+    key = F.col("text_key") if "text_key" in chunks.columns else text_key(F.col("text"), compose)
+    # Candidates carry digests; only the passages that stay look up their texts.
+    best = rerank(one_per_text(near.join(chunks.select("chunk_id", "meta", key.alias("text_key")), "chunk_id")), final_k)
+    return best.join(chunks.select("chunk_id", "text", "source_url"), "chunk_id")
 
 
 def passages(ranked: DataFrame) -> DataFrame:
