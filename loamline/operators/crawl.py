@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,3 +104,31 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> Dat
         if new.isEmpty():
             return seen
         seen, frontier = seen.union(new), new
+
+
+def robots_allow(urls: DataFrame, robots: DataFrame, agent: str, default_delay: float = 1.0) -> DataFrame:
+    """urls with allowed and crawl_delay, by the robots file of their origin. robots: origin, status, body; without one, or with a status other than 200, all is allowed. Each task parses a file once."""
+    from urllib.robotparser import RobotFileParser
+
+    from pyspark.sql import types as T
+
+    origin = F.regexp_extract(F.lower("url"), "^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
+    both = urls.withColumn("origin", origin).join(robots.select("origin", "status", "body"), "origin", "left")
+
+    @F.pandas_udf(T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField("crawl_delay", T.DoubleType())]))
+    def check(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        parsers: dict = {}
+        for url, status, body in batches:
+            rows = []
+            for u, s, b in zip(url, status, body):
+                if s != 200 or not b:
+                    rows.append((True, default_delay))
+                    continue
+                if b not in parsers:
+                    parsers[b] = RobotFileParser()
+                    parsers[b].parse(b.splitlines())
+                delay = parsers[b].crawl_delay(agent)
+                rows.append((parsers[b].can_fetch(agent, u), float(delay) if delay is not None else default_delay))
+            yield pd.DataFrame(rows, columns=["allowed", "crawl_delay"])
+
+    return both.withColumn("said", check("url", "status", "body")).select(*urls.columns, "said.allowed", "said.crawl_delay")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUIRED = ("document_id", "chunk_id", "chunk_index", "text", "parser_version")
@@ -78,3 +78,18 @@ def append_unseen(rows: DataFrame, path: str, embed: Callable[[Column], Column]
 
 def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("fault").isNull()).alias("indexed"), F.count_if(F.col("fault").isNotNull()).alias("skipped"), F.count_if(F.col("fault") == "missing_field").alias("skipped_schema"))
+
+
+def ensure_table(spark: SparkSession, name: str) -> None:
+    """The vector table in the catalog, if it isn't there yet. Parquet has no indexes: ids and sources prune by their statistics."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({TABLE}) USING parquet")
+
+
+def table_ready(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+def observed(rows: DataFrame, name: str = "index") -> tuple[DataFrame, Observation]:
+    """rows, counted as they pass: the counts are there once an action has run, at no further pass."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("fault").isNull()).alias("indexed"), F.count_if(F.col("fault").isNotNull()).alias("skipped")), seen

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamline.functions import scalar as s
-from loamline.operators import crawl, index, sync
+from loamline.operators import crawl, index, layout, sync
 from loamline.plans.scalars import table
 
 QUERIES: dict = {}
@@ -191,3 +191,84 @@ def k9_d15_audit(spark, d):
 
     e = table(spark, d, "events").select("event_id", "ts", F.col("props").alias("query"))
     return audit(e, F.col("ts")).select("event_id", "audit_date", "query_hash")
+
+
+_BLOCKS_SQL = """
+    p AS (SELECT l_orderkey % 400 AS document_id, 1 + l_orderkey % 3 AS page_number, l_orderkey * 10 + l_linenumber AS block, (l_partkey * 7 % 500)::DOUBLE AS x0, ((l_suppkey * 13 + l_linenumber * 37) % 700)::DOUBLE AS y0,
+                 l_partkey * 7 % 500 + l_quantity * 2 AS x1, ((l_suppkey * 13 + l_linenumber * 37) % 700 + 10 + l_linenumber)::DOUBLE AS y1, 'w' || l_partkey AS text FROM lineitem WHERE l_orderkey < 4000),
+    f AS (SELECT * FROM p WHERE block % 9 = 0), b AS (SELECT * FROM p WHERE block % 9 <> 0)
+"""
+
+
+def _blocks(spark, d):
+    li = table(spark, d, "lineitem").where("l_orderkey < 4000")
+    x, y = (F.col("l_partkey") * 7 % 500).cast("double"), ((F.col("l_suppkey") * 13 + F.col("l_linenumber") * 37) % 700).cast("double")
+    p = li.select((F.col("l_orderkey") % 400).alias("document_id"), (1 + F.col("l_orderkey") % 3).alias("page_number"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("block"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity") * 2).alias("x1"), (y + 10 + F.col("l_linenumber")).alias("y1"), F.concat(F.lit("w"), "l_partkey").alias("text"))
+    return p.where("block % 9 <> 0"), p.where("block % 9 = 0")
+
+
+@query(f"""
+    WITH {_BLOCKS_SQL},
+    c AS (SELECT *, (x0 + x1) / 2 AS centre FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.document_id = b.document_id AND f.page_number = b.page_number
+            AND greatest(0, least(b.x1, f.x1) - greatest(b.x0, f.x0)) * greatest(0, least(b.y1, f.y1) - greatest(b.y0, f.y0)) / greatest(1, (b.x1 - b.x0) * (b.y1 - b.y0)) > 0.25)),
+    g AS (SELECT *, lead(centre) OVER (PARTITION BY document_id, page_number ORDER BY centre, block) - centre AS gap FROM c),
+    m AS (SELECT *, list_sort(list(gap) FILTER (gap IS NOT NULL) OVER (PARTITION BY document_id, page_number)) AS gaps FROM g),
+    u AS (SELECT *, CASE WHEN coalesce(gaps[len(gaps) // 2 + 1], 0) = 0 THEN coalesce(list_max(gaps), 0) ELSE gaps[len(gaps) // 2 + 1] END AS usual FROM m),
+    k AS (SELECT *, coalesce(sum(CASE WHEN gap > 1.5 * usual THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_number ORDER BY centre, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col FROM u)
+    SELECT document_id, page_number, string_agg(text, ' ' ORDER BY col, y0, centre, block) AS text FROM k GROUP BY document_id, page_number
+""")
+def s13_j7_a9_w5_t5_page_text(spark, d):
+    return layout.page_text(*_blocks(spark, d))
+
+
+@query("SELECT conv_id, string_agg(role || chr(9) || coalesce(CASE WHEN turn % 3 > 0 THEN turn::VARCHAR END, ''), chr(10) ORDER BY turn) AS tsv FROM conversations GROUP BY conv_id")
+def c22_table_text(spark, d):
+    row = F.array("role", F.when(F.col("turn") % 3 > 0, F.col("turn").cast("string")))
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", row.alias("row")))).alias("t"))
+    return t.select("conv_id", layout.table_text(F.transform("t", lambda x: x["row"])).alias("tsv"))
+
+
+@query(r"""
+    SELECT doc_id::VARCHAR AS document_id, doc_id || '_c0000' AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'http://o' WHEN doc_id % 3 = 0 THEN 'http://s' END AS source_url, CASE WHEN lang = source THEN '["' || lang || '"]' ELSE '["' || lang || '","' || source || '"]' END AS headings, NOT (doc_id % 2 = 0 OR doc_id % 3 = 0) AS lacks_source
+    FROM documents WHERE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) < 90
+""".replace("\\", "\\"))
+def p10_p13_p14_chunk_payload(spark, d):
+    from loamline.operators import chunking, payload
+
+    docs = table(spark, d, "documents").where(F.size(F.split(s.squeeze(F.col("text")), " ")) < 90)
+    original, source = F.when(F.col("doc_id") % 2 == 0, "http://o"), F.when(F.col("doc_id") % 3 == 0, "http://s")
+    about = docs.select(F.col("doc_id").cast("string").alias("document_id"), payload.source_url(original, source, F.lit(None).cast("string")).alias("source_url"), original.alias("original_url"), F.col("lang").alias("title"), F.col("source").alias("parsed_title"), F.lit(None).cast("string").alias("file_type"), F.col("doc_id").cast("string").alias("raw_key"))
+    lines = payload.html_payload(chunking.html_chunks(docs, "doc_id", "text").join(about, "document_id"), "v1", F.lit("2024-01-01T00:00:00.000Z"))
+    get = lambda k: F.get_json_object("value", f"$.{k}")
+    return lines.select("document_id", get("chunk_id").alias("chunk_id"), get("source_url").alias("source_url"), get("headings").alias("headings"), (~F.col("value").contains('"source_url"')).alias("lacks_source"))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, -1, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def k5_insert_absent(spark, d):
+    from loamline.operators import payload
+
+    return payload.insert_absent(table(spark, d, "documents").select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic")), table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, -1 AS quality, -1 AS toxic FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 2 <> 0")
+def k6_overwrite(spark, d):
+    from loamline.operators import payload
+
+    return payload.overwrite(table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic")), table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT user_id, event_id, event_type, 'r-' || (epoch_us(ts) // 1000) AS request_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank = 1")
+def j3_s6_c29_latest_manifest(spark, d):
+    from loamline.operators import payload
+
+    return payload.latest(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts").select("user_id", "event_id", "event_type", payload.default_id("r", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")).alias("request_id"))
+
+
+@query("SELECT page_id, url, page_id % 5 <> 0 AS allowed, CASE WHEN page_id % 5 = 1 THEN 4.0 ELSE 1.0 END::DOUBLE AS crawl_delay FROM pages")
+def s10_d18_robots(spark, d):
+    # A robots file per page stands in for one per site.
+    pages = table(spark, d, "pages").select("page_id", F.format_string("http://h%d.org/x", "page_id").alias("u"), "url")
+    k = F.col("page_id") % 5
+    robots = pages.select(F.format_string("http://h%d.org", "page_id").alias("origin"), F.when(k == 2, 404).otherwise(200).alias("status"), F.when(k == 0, "User-agent: *\nDisallow: /").when(k == 1, "User-agent: *\nCrawl-delay: 4\nDisallow: /y").when(k == 2, "User-agent: *\nDisallow: /").otherwise("").alias("body")).where("page_id % 5 <> 3")
+    out = crawl.robots_allow(pages.select("page_id", F.col("u").alias("url"), F.col("url").alias("own")), robots, "loamline")
+    return out.select("page_id", F.col("own").alias("url"), "allowed", "crawl_delay")

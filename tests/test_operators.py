@@ -214,3 +214,27 @@ def test_crawl(spark):
     read = {r.page_id: r for r in crawl.link_density(crawl.read_pages(page)).collect()}
     assert [x.href for x in read[1].links] == ["http://h/f.pdf", "http://h/x/q"] and read[1].harvested == ["http://h/x/y.json", "http://h/f.pdf"] and read[2].link_density == 0.0
     assert {(r.url, r.prioritized) for r in crawl.candidates(page).collect()} == {("http://h/f.pdf", True), ("http://h/x/q", False), ("http://h/x/y.json", False)}
+
+
+def test_layout(spark):
+    from loamline.operators import layout
+
+    blocks = [("d", 1, 1, 0.0, 0.0, 100.0, 10.0, "a"), ("d", 1, 2, 0.0, 20.0, 100.0, 30.0, "b\x07"), ("d", 1, 3, 300.0, 5.0, 400.0, 15.0, "right"), ("d", 1, 4, 302.0, 0.0, 402.0, 4.0, "top"), ("d", 1, 5, 1.0, 50.0, 101.0, 60.0, "figure text"), ("e", 2, 1, 0.0, 0.0, 5.0, 5.0, "alone")]
+    figures = [("d", 1, 0.0, 50.0, 50.0, 60.0)]
+    got = layout.page_text(spark.createDataFrame(blocks, "document_id string, page_number int, block int, x0 double, y0 double, x1 double, y1 double, text string"), spark.createDataFrame(figures, "document_id string, page_number int, x0 double, y0 double, x1 double, y1 double"))
+    assert {(r.document_id, r.text) for r in got.collect()} == {("d", "a b top right"), ("e", "alone")}
+
+
+def test_payload_and_manifests(spark):
+    from loamline.operators import payload
+
+    assert one(spark, payload.headings(F.lit("T"), F.lit("T"))) == ["T"] and one(spark, payload.headings(F.lit(""), F.lit(None).cast("string"))) == []
+    old, new = spark.createDataFrame([(1, "o"), (2, "o")], "k int, v string"), spark.createDataFrame([(2, "n"), (3, "n")], "k int, v string")
+    assert {tuple(r) for r in payload.insert_absent(new, old, "k").collect()} == {(1, "o"), (2, "o"), (3, "n")}
+    assert {tuple(r) for r in payload.overwrite(new, old, "k").collect()} == {(1, "o"), (2, "n"), (3, "n")}
+
+
+def test_counts_as_rows_pass(spark):
+    rows, seen = index.observed(index.normalise(spark.createDataFrame([("{bad",), ('{"a": 1}',)], "value string")))
+    rows.collect()
+    assert seen.get == {"seen": 2, "indexed": 0, "skipped": 2}
