@@ -41,7 +41,7 @@ GROUP = 16_384
 
 
 def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece, the sequences numbered from 0. A piece that alone exceeds a capacity other than tokens gets a sequence of its own. Ties go to the longer-open sequence; equal lengths keep their order."""
+    """(sequence, offset) of each piece, the sequences numbered from 0. A piece that alone exceeds a capacity other than tokens gets a sequence of its own. Ties go to a fixed one of the sequences that tie; equal lengths keep their order."""
     n = len(lengths)
     full = np.array([cap.tokens, cap.documents, cap.attention], float)
     w = np.array(cap.weights) / (full if cap.rule == "norm" else full**2)
