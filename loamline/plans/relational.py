@@ -120,7 +120,11 @@ def u2_c19_links(spark, d):
     return read.select("page_id", "n_links", F.md5(F.array_join(paths, " ")).alias("paths_md5"))
 
 
-@query()
+@query(r"""
+    WITH v AS (SELECT page_id, len(regexp_extract_all(html, '(?s)<a [^>]*href="[^"]*"')) AS n_links, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', ' ', 'g'), '(?s)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS words FROM pages),
+    n AS (SELECT page_id, n_links, CASE WHEN words = '' THEN 0 ELSE len(string_split(words, ' ')) END AS n_words FROM v)
+    SELECT page_id, n_words, n_links, round(CASE WHEN n_words > 0 THEN n_links / n_words WHEN n_links > 0 THEN 'inf'::DOUBLE ELSE 0 END, 6) AS link_density FROM n
+""")
 def a10_link_density(spark, d):
     return crawl.link_density(crawl.read_pages(table(spark, d, "pages"))).select("page_id", "n_words", "n_links", F.round("link_density", 6).alias("link_density"))
 

@@ -114,7 +114,17 @@ def u1_w7_chunk_windows(spark, d):
     return out.select("document_id", "chunk_id", F.md5("text").alias("text_md5"), F.col("token_count").cast("long").alias("token_count"), F.col("token_start").cast("long").alias("token_start"), F.col("token_end").cast("long").alias("token_end"), "semantic_region")
 
 
-@query()
+_PAGE_WINDOW_SQL = _WINDOW_SQL.replace("FROM documents", "FROM (SELECT conv_id || '/' || (turn + 1) AS doc_id, text FROM conversations)")
+
+
+@query(_PAGE_WINDOW_SQL + """,
+    n AS (SELECT split_part(doc_id, '/', 1) AS document_id, split_part(doc_id, '/', 2)::INT AS page_number, row_number() OVER (PARTITION BY doc_id ORDER BY window_index) - 1 AS number, text, token_count, total FROM c),
+    m AS (SELECT *, coalesce(sum(token_count) OVER (PARTITION BY document_id ORDER BY page_number, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                 sum(CASE WHEN number = 0 THEN total ELSE 0 END) OVER (PARTITION BY document_id) AS whole, max(page_number) OVER (PARTITION BY document_id) AS last_page FROM n),
+    q AS (SELECT *, (before + token_count / 2.0) / nullif(whole, 0) AS mid FROM m)
+    SELECT document_id, page_number, document_id || '_p' || page_number || '_' || printf('%04d', number) AS chunk_id, text, token_count::INT AS token_count, whole::BIGINT AS document_total_tokens,
+           CASE WHEN whole = 0 THEN CASE WHEN page_number = 1 THEN 'intro' WHEN page_number = last_page THEN 'footer' ELSE 'middle' END WHEN mid < .10 THEN 'intro' WHEN mid < .30 THEN 'early' WHEN mid < .70 THEN 'middle' WHEN mid < .90 THEN 'late' ELSE 'footer' END AS semantic_region FROM q
+""")
 def u1_p11_w4_pdf_chunks(spark, d):
     pages = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), (F.col("turn") + 1).alias("page_number"), "text")
     return chunking.pdf_chunks(pages)
@@ -175,6 +185,22 @@ def u4_validated_answers(spark, d):
     return out.select("conv_id", "turn", "mode", "decision", F.array_join(F.transform("cited", lambda c: c["cited"].cast("string")), " ", "-").alias("cited"))
 
 
+_RESPONSES_SQL = rf"""
+    WITH {_CHUNKS_SQL.split("r AS (")[0].rstrip().rstrip(",")},
+    t AS (SELECT conv_id, turn, text, conv_id % 7 AS k FROM conversations WHERE role = 'user'),
+    a AS (SELECT conv_id || '-' || turn AS request_id, conv_id, CASE WHEN k IN (0, 2, 3, 6) THEN 'refusal_invalid_request' WHEN k = 5 AND turn / 4 < 0.25 THEN 'refusal_asr_low_confidence'
+            WHEN regexp_matches(text, '(?i)\b(medic(al|ine|ation)|prescrib|diagnos|symptom|treatment|clinic)\b') THEN 'refusal_medical'
+            WHEN regexp_matches(text, '(?i)\b(attorney|sue|lawsuit|contract|custody|divorce|legal advice|crime|sentence)\b') THEN 'refusal_legal' END AS g FROM t JOIN embeddings ON vec_id = conv_id),
+    r AS (SELECT request_id, embedding::DOUBLE[] AS e, '' AS own FROM a JOIN embeddings ON vec_id = conv_id WHERE g IS NULL),
+    {_RETRIEVE_SQL.replace("request_id <> chunk_id", "own <> chunk_id")},
+    p AS (SELECT request_id, string_agg(chunk_id, ' ' ORDER BY number) AS used, string_agg(replace(url, 's3://store/', 'https://store.s3.amazonaws.com/'), ' ' ORDER BY number) AS urls, max(score) AS top,
+                 regexp_extract(trim(arg_min(text, number), ' ' || chr(10) || chr(9)), '^([^\n]*)', 1)[:80] || ' [n].' AS line FROM k WHERE number <= 5 GROUP BY request_id),
+    o AS (SELECT a.request_id, g, used, urls, top, CASE WHEN g IS NOT NULL THEN 'refusal' WHEN coalesce(top, 0) < 0.25 THEN 'not_enough_info' ELSE 'answer' END AS resolution,
+                 NOT regexp_matches(line, '(?i)http://|https://|www\.|file://') AS accepted, line FROM a LEFT JOIN p ON a.request_id = p.request_id),
+    y AS (SELECT *, CASE WHEN resolution = 'answer' THEN CASE WHEN accepted THEN regexp_replace(line, '\[n\]\.$', '[1].') ELSE trim(line) END END AS answer FROM o)
+"""
+
+
 def _responses(spark, d):
     """Requests answered over the test tables; a request's vector is that of its conversation's number."""
     raw = _raw_requests(spark, d)
@@ -182,18 +208,24 @@ def _responses(spark, d):
     return respond.answer(raw.join(vectors, "conv_id"), chunks(spark, d))
 
 
-@query()
+@query(_RESPONSES_SQL + """
+    SELECT request_id, resolution, g AS guidance_key, round(top, 6) AS top_similarity, answer, CASE WHEN resolution = 'answer' THEN urls END AS sources,
+           CASE WHEN resolution = 'answer' THEN CASE WHEN accepted THEN 'high' ELSE 'low' END END AS confidence, CASE WHEN resolution = 'answer' AND NOT accepted THEN TRUE END AS citation_missing, coalesce(used, '') AS used_chunk_ids FROM y
+""")
 def q2_q3_handle(spark, d):
     out = _responses(spark, d)
     return out.select("request_id", "resolution", "guidance_key", F.round("top_similarity", 6).alias("top_similarity"), F.array_join("answer_lines", "\n").alias("answer"), F.array_join("sources", " ").alias("sources"), "confidence", "citation_missing", F.array_join("used_chunk_ids", " ").alias("used_chunk_ids"))
 
 
-@query()
+@query(_RESPONSES_SQL + "SELECT request_id, resolution, g AS guidance_key, answer, CASE WHEN resolution = 'answer' AND accepted THEN urls END AS citation_urls FROM y")
 def p7_p9_web_voice(spark, d):
     out = respond.web(_responses(spark, d))
     return out.select("request_id", "resolution", "guidance_key", F.array_join("answer_lines", "\n").alias("answer"), F.array_join("citation_urls", " ").alias("citation_urls"))
 
 
-@query()
+@query(_RESPONSES_SQL + """
+    SELECT request_id, CASE WHEN resolution = 'answer' THEN answer || CASE WHEN accepted THEN chr(10) || 'Source: store.s3.amazonaws.com' ELSE '' END WHEN resolution = 'not_enough_info' THEN 'No authoritative information found.' ELSE 'Unable to provide information.' END AS message,
+           CASE WHEN resolution <> 'answer' THEN coalesce(g, resolution) END AS reason FROM y
+""")
 def p8_sms(spark, d):
     return respond.sms(_responses(spark, d))
