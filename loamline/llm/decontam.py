@@ -41,11 +41,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the seed to AFTER words from its start on, as far as both texts go; it must
     compare LEAST words, or all of a shorter item, of which the share OVERLAP is
     equal. Items and documents under SPAN words have no seeds and so no rows.
-    Null texts count as empty, null ids are ids like any other, rows that repeat
-    an id are counted together. Other columns are ignored.
+    Null texts count as empty, null ids (of documents and items) are ids like any
+    other, rows that repeat an id are counted together. Other columns are ignored.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("words"))
-    seeds = _seeds(items, "item_id").select("item_id", F.col("at").alias("item_at"), F.size("words").alias("item_len"), "seed")
+    items = benchmark.select("item_id", words(F.col("text")).alias("words")).withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "words")).dropDuplicates(["item"])
+    seeds = _seeds(items, "item").select("item", F.col("at").alias("item_at"), F.size("words").alias("item_len"), "seed")
     size = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     if size <= BROADCAST_WORDS and size * len(MASKS) <= BROADCAST_SEEDS:
         seeds, items = F.broadcast(seeds), F.broadcast(items)
@@ -54,9 +54,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # The stretch both have: from `back` words before the seed, `n` words long.
     back = F.least(F.lit(BEFORE), F.col("at"), F.col("item_at"))
     ahead = F.least(F.lit(AFTER), F.size("words") - F.col("at"), F.col("item_len") - F.col("item_at"))
-    hit = hit.select("doc_id", "item_id", "item_len", (F.col("item_at") - back).alias("start"), (back + ahead).alias("n"), F.slice("words", F.col("at") - back + 1, back + ahead).alias("stretch"))
+    hit = hit.select("doc_id", "item", "item_len", (F.col("item_at") - back).alias("start"), (back + ahead).alias("n"), F.slice("words", F.col("at") - back + 1, back + ahead).alias("stretch"))
     hit = hit.where(F.col("n") >= F.least(F.lit(LEAST), F.col("item_len")))
-    hit = hit.join(items, "item_id").withColumn("matched", F.aggregate(F.zip_with("stretch", F.slice("words", F.col("start") + 1, F.col("n")), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x))
+    hit = hit.join(items, "item").withColumn("matched", F.aggregate(F.zip_with("stretch", F.slice("words", F.col("start") + 1, F.col("n")), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x))
     hit = hit.where(F.col("matched") >= OVERLAP * F.col("n"))
     best = F.max(F.struct((F.col("matched") / F.col("n")).alias("share"), "matched", "n"))
     return hit.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"), best.alias("best")).select("doc_id", "item_id", "hits", F.col("best.matched").alias("matched"), F.col("best.n").alias("compared"))
