@@ -30,7 +30,7 @@ VOID = frozenset("hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # Containers that never hold the article, by element, and words of class, id and role that say so.
 AWAY = frozenset("nav footer aside form dialog menu button fieldset search".split())
-AWAY_WORDS = frozenset("ad ads adv advert advertisement advertorial alert banner breadcrumb breadcrumbs byline captcha comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus feedback footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toc toolbar trending widget".split())
+AWAY_WORDS = frozenset("ad ads adsbygoogle adv advert advertisement advertorial alert announcement aside banner breadcrumb breadcrumbs byline captcha colophon comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus feedback footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion rail recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subnav subscribe subscription tags teaser toc toolbar topbar topnav trending warning widget".split())
 HERE = frozenset("article main".split())
 HERE_WORDS = frozenset("article content entry main post story".split())
 
@@ -60,7 +60,7 @@ def _says(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
                 away |= value.lower() == "true"
             else:
                 words = set(_SPLIT.split(value.lower()))
-                away |= not words.isdisjoint(AWAY_WORDS) and tag not in ("body", "html", "article", "main")
+                away |= not (AWAY_WORDS - {"header"} if inside else AWAY_WORDS).isdisjoint(words) and tag not in ("body", "html", "article", "main")
                 here |= not words.isdisjoint(HERE_WORDS)
     return away, here
 

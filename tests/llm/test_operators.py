@@ -51,7 +51,7 @@ def test_extraction_of_other_pages():
     page = f"""<html><head><title>No</title><script>if (a<b) "<p>no</p>"</script></head><body class="home">
       <header><h1>Site name</h1></header><div id="menu-main"><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div>
       <div class="cookie-notice">We use cookies to make this site work, and for nothing else at all, as we say here at length for once.</div>
-      <article><header><h1>Title &amp; more</h1></header><p>{body}<p>Short.</p><p>See <a href=z>this</a> one, too.</p><aside>Beside the point, in some more words than one would think</aside>
+      <article class="post"><header class="entry-header"><h1>Title &amp; more</h1></header><p>{body}<p>Short.</p><p>See <a href=z>this</a> one, too.</p><div class="topbar">Read this as well, and this, and then some of that</div><aside>Beside the point, in some more words than one would think</aside>
       <form><p>Name: <input name=n> and tell us what you think about it in your own words</p></form></article>
       <section id="comments"><h3>Comments</h3><p>{body}</p></section><div class="sidebar"><p>{body}</p></div><footer><p>{body}</p></footer>
       <div style="display: none"><p>{body}</p></div><!-- <p>{body}</p> --></body></html>"""
