@@ -31,7 +31,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences."""
-    return pack.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1, cap=pack.Capacity(tokens=SEQUENCE_TOKENS))
+    return pack.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1, cap=pack.Capacity(tokens=SEQUENCE_TOKENS), keep_ids=False)
 
 
 STAGES = [

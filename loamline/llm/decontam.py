@@ -34,10 +34,11 @@ def _seeds(w: DataFrame, *keep: str) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and benchmark item that overlap: doc_id, item_id, hits, matched, compared.
+    """One row per document and benchmark item that overlap: doc_id, item_id, hits, matched, compared, doc_word, item_word.
 
-    hits counts the seeds that led to a verified overlap; matched of compared
-    words are equal in the best one. An overlap reaches from BEFORE words before
+    hits counts the seeds that led to a verified overlap; in the best one (the
+    first of equally good ones) matched of compared words are equal, from word
+    doc_word of the document and item_word of the item on, counted from 0. An overlap reaches from BEFORE words before
     the seed to AFTER words from its start on, as far as both texts go; it must
     compare LEAST words, or all of a shorter item, of which the share OVERLAP is
     equal. Items and documents under SPAN words have no seeds and so no rows.
@@ -54,12 +55,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # The stretch both have: from `back` words before the seed, `n` words long.
     back = F.least(F.lit(BEFORE), F.col("at"), F.col("item_at"))
     ahead = F.least(F.lit(AFTER), F.size("words") - F.col("at"), F.col("item_len") - F.col("item_at"))
-    hit = hit.select("doc_id", "item", "item_len", (F.col("item_at") - back).alias("start"), (back + ahead).alias("n"), F.slice("words", F.col("at") - back + 1, back + ahead).alias("stretch"))
+    hit = hit.select("doc_id", "item", "item_len", (F.col("at") - back).alias("doc_start"), (F.col("item_at") - back).alias("item_start"), (back + ahead).alias("n"), F.slice("words", F.col("at") - back + 1, back + ahead).alias("stretch"))
     hit = hit.where(F.col("n") >= F.least(F.lit(LEAST), F.col("item_len")))
-    hit = hit.join(items, "item").withColumn("matched", F.aggregate(F.zip_with("stretch", F.slice("words", F.col("start") + 1, F.col("n")), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x))
+    hit = hit.join(items, "item").withColumn("matched", F.aggregate(F.zip_with("stretch", F.slice("words", F.col("item_start") + 1, F.col("n")), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x))
     hit = hit.where(F.col("matched") >= OVERLAP * F.col("n"))
-    best = F.max(F.struct((F.col("matched") / F.col("n")).alias("share"), "matched", "n"))
-    return hit.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"), best.alias("best")).select("doc_id", "item_id", "hits", F.col("best.matched").alias("matched"), F.col("best.n").alias("compared"))
+    best = F.max(F.struct((F.col("matched") / F.col("n")).alias("share"), "matched", "n", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i")))
+    found = hit.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"), best.alias("best"))
+    return found.select("doc_id", "item_id", "hits", F.col("best.matched").alias("matched"), F.col("best.n").alias("compared"), (-F.col("best.d")).alias("doc_word"), (-F.col("best.i")).alias("item_word"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -84,10 +86,11 @@ def oracle_sql() -> str:
         h AS (SELECT ds.doc_id, bs.item_id, ds.words AS dw, bs.words AS bw, ds.pos AS da, bs.pos AS ba,
                      least({BEFORE}, ds.pos, bs.pos) AS back, least({AFTER}, len(ds.words) - ds.pos, len(bs.words) - bs.pos) AS ahead
               FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed),
-        v AS (SELECT doc_id, item_id, back + ahead AS n,
+        v AS (SELECT doc_id, item_id, back + ahead AS n, -(da - back) AS d, -(ba - back) AS i,
                      len(list_filter(range(back + ahead), lambda k: dw[da - back + k + 1] = bw[ba - back + k + 1])) AS matched
               FROM h WHERE back + ahead >= least({LEAST}, len(bw)))
         SELECT doc_id, item_id, count(*) AS hits,
-               arg_max(matched, row(matched / n, matched, n)) AS matched, arg_max(n, row(matched / n, matched, n)) AS compared
+               arg_max(matched, row(matched / n, matched, n, d, i)) AS matched, arg_max(n, row(matched / n, matched, n, d, i)) AS compared,
+               -arg_max(d, row(matched / n, matched, n, d, i)) AS doc_word, -arg_max(i, row(matched / n, matched, n, d, i)) AS item_word
         FROM v WHERE matched >= {OVERLAP} * n GROUP BY doc_id, item_id
     """

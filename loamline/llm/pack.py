@@ -81,47 +81,66 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _cut(tokenizer_path: str, end_id: int, limit: int) -> Callable:
+def _cut(tokenizer_path: str, end_id: int, limit: int, keep_ids: bool) -> Callable:
+    schema = _PIECES_ARROW.append(pa.field("ids", pa.list_(pa.int32()))) if keep_ids else _PIECES_ARROW
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for doc_id, ids in zip(b.column(0).to_pylist(), encoder.texts(b.column(1).to_pylist())):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if keep_ids else [])))
+                    size += len(part) * keep_ids
+                if size > 16 << 20:
+                    yield batch(rows)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECES_ARROW.types)], schema=_PIECES_ARROW)
+                yield batch(rows)
 
     return pieces
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A document's ids followed by end_id; only longer ones are cut, into pieces of limit tokens, the last one shorter. A null text counts as empty and gives one piece of length 1."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_cut(tokenizer_path, end_id, limit), _PIECES)
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limit: int = 4096, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A document's ids followed by end_id; only longer ones are cut, into pieces of limit tokens, the last one shorter: doc_id, piece, start, length, ids_crc32, and with keep_ids the ids. A null text counts as empty and gives one piece of length 1."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return src.mapInArrow(_cut(tokenizer_path, end_id, limit, keep_ids), _PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def pack(pieces: DataFrame, cap: Capacity = Capacity(), group: int = GROUP) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. pieces must be a stored table: its rows are numbered where they lie.
+    """pieces (row, length and others) with sequence_id and offset; row must be unique and pieces a stored table.
 
     Pieces are dealt at random over groups of about `group`, so a group's size
     follows neither ids nor lengths, and each group is packed by itself. Every
     row gets a place, repeated rows included; an empty table gives no rows.
     """
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+    dealt = pieces.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group"))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row", kind="stable")
         seq, offset = best_fit(rows["length"].to_numpy(), cap)
-        rows["sequence_id"], rows["offset"] = (int(key[0]) << 32) + seq, offset
-        return rows.drop(columns=["row", "group"])
+        return pd.DataFrame({"row": rows["row"], "sequence_id": (int(key[0]) << 32) + seq, "offset": offset})
+
+    places = dealt.groupBy("group").applyInPandas(place, "row long, sequence_id long, offset long")
+    return pieces.join(places, "row")
+
 
-    return dealt.groupBy("group").applyInPandas(place, f"{_PIECES}, sequence_id long, offset long")
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: Capacity = Capacity(), group: int = GROUP, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with keep_ids the ids. See token_pieces() and pack(). Other columns of docs are ignored."""
+    pieces = token_pieces(docs, tokenizer_path, end_id, cap.tokens, keep_ids, id_col, text_col)
+    return pack(stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces"), cap, group).drop("row")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: Capacity = Capacity(), group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. See token_pieces() and pack(). Other columns of docs are ignored."""
-    return pack(stored(token_pieces(docs, tokenizer_path, end_id, cap.tokens, id_col, text_col), "pieces"), cap, group)
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids, doc_ids, lengths): the packed sequences themselves, from pack_documents() with its ids."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id", "length")))  # of one sequence
+    out = packed.groupBy("sequence_id").agg(parts.alias("parts"))
+    return out.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"), F.transform("parts", lambda p: p["length"]).alias("lengths"))

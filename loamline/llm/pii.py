@@ -191,3 +191,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     again = again.select("row", F.concat_ws(",", F.transform("all", lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"]))).alias("anew"))
     per_doc = found.where("part = 0").select("row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
     return per_doc.join(again, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.coalesce("anew", "spans").alias("spans"), F.col("anew").isNotNull().alias("has_learnt"))
+
+
+def span_rows(found: DataFrame) -> DataFrame:
+    """(doc_id, kind, start, end): a row per span of find_personal_data()."""
+    one = F.explode(F.filter(F.split("spans", ","), lambda x: x != ""))
+    parts = F.split("span", ":")
+    return found.select("doc_id", one.alias("span")).select("doc_id", parts[0].alias("kind"), parts[1].cast("long").alias("start"), parts[2].cast("long").alias("end"))

@@ -28,7 +28,7 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op3_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, cap=pack.Capacity(tokens=SEQUENCE_TOKENS))
+    return pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, cap=pack.Capacity(tokens=SEQUENCE_TOKENS), keep_ids=False)
 
 
 def op4_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,11 @@ def shard_documents(docs: DataFrame, tree: Tree, grown: Tree | None = None, id_c
     # At most shards x RUNS rows, whatever the input.
     numbered = rows.withColumn("at", F.row_number().over(run) - 1).join(F.broadcast(starts), ["shard", "run"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), "grown_shard", "region", "rack")
+
+
+def write_shards(docs: DataFrame, tree: Tree, path: str, id_col: str = "doc_id") -> None:
+    """The rows of docs with all their columns as Parquet, a folder per region, rack and shard."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63))
+    placed = docs.withColumn("loamline_place", place(key, tree))
+    names = {f"loamline_{n}": F.col(f"loamline_place.{n}") for n in ("region", "rack", "shard")}
+    placed.withColumns(names).drop("loamline_place").write.partitionBy(*names).parquet(path)

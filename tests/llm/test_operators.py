@@ -99,6 +99,23 @@ def test_packing(spark, sf_dir, texts):
     assert rows["sequence_id"].nunique() <= -(-rows["length"].sum() // 4096) + 1
 
 
+def test_sequences_hold_the_ids(spark, sf_dir, texts):
+    path = queries.tokenizer("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents")
+    packed = pack.pack_documents(docs, path, cap=pack.Capacity(tokens=1500))
+    got: dict = {}
+    for s in pack.sequences(packed).collect():
+        at = 0
+        assert len(s.ids) == sum(s.lengths) <= 1500
+        for d, n in zip(s.doc_ids, s.lengths):
+            got.setdefault(d, []).append(s.ids[at : at + n])
+            at += n
+    tokenizer = ChunkEncoder(path).tokenizer
+    for d, text in texts.items():
+        want = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert sorted(got[d]) == sorted(want[i : i + 1500] for i in range(0, len(want), 1500))
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_holds_every_capacity(rule):
     rng = np.random.default_rng(5)
@@ -276,6 +293,13 @@ def test_shards(spark, sf_dir, texts):
         assert sorted(own["slot"]) == list(range(len(own)))
 
 
+def test_written_shards(spark, sf_dir, tmp_path):
+    docs = table(spark, sf_dir, "documents")
+    shard.write_shards(docs, shard.even_tree(40), str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == docs.count() and all(r.loamline_shard == _brute_shard(r.doc_id, 40) for r in back.select("doc_id", "loamline_shard").collect())
+
+
 def test_weights_move_only_their_subtree(spark):
     keys = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     tree = {"a": {"x": {0: 1.0, 1: 2.0}, "y": {2: 1.0}}, "b": {"z": {3: 4.0, 4: 0.0}}}
@@ -339,6 +363,8 @@ def test_contexts_teach_identifiers(spark):
     assert got[50].spans == "phone:18:30" and got[50].n_phone == 0 and got[50].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[51].spans == "phone:13:25" and got[52].spans == "" and got[53].spans == ""
     assert got[0].spans == "phone:18:35" and got[0].n_phone == 1
+    rows = pii.span_rows(spark.createDataFrame([(1, "email:0:5,phone:7:20"), (2, "")], "doc_id long, spans string")).collect()
+    assert [tuple(r) for r in rows] == [(1, "email", 0, 5), (1, "phone", 7, 20)]
 
 
 # ---------------------------------------------------------------- the pipeline
