@@ -111,7 +111,7 @@ def fit(rows: list[tuple], seed: int = 1) -> QualityModel:
 
 def _scored(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, buckets = model.value, _Buckets()
+        m, buckets = QualityModel(*model.value), _Buckets()
         for b in batches:
             scores = m.scores(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), buckets)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
@@ -128,6 +128,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_r
     value of its own. Repeated rows get equal scores; an empty table gives no
     rows. Other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels, "quality", sample_rows, ("n_chars",))))  # (BUCKETS + bins) x (RANK + 1) numbers
+    fitted = fit(sample(docs, labels, "quality", sample_rows, ("n_chars",)))
+    # Plain arrays of fixed size, (BUCKETS + bins) x (RANK + 1) numbers: executors need no class of ours to read them.
+    model = docs.sparkSession.sparkContext.broadcast((fitted.edges, fitted.bias, fitted.w, fitted.v))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
     return src.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -103,7 +103,7 @@ def _counted(automaton):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(automaton.value)
+        counts = _Counts(Automaton(*automaton.value))
         for b in batches:
             rows = []
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -124,5 +124,7 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id
     token. Null counts as empty, and an empty text has no tokens. Other columns
     are ignored; an empty table gives no rows.
     """
-    automaton = docs.sparkSession.sparkContext.broadcast(Automaton.of(vocabulary))  # as large as the vocabulary
+    built = Automaton.of(vocabulary)
+    # Plain tables as large as the vocabulary: executors need no class of ours to read them.
+    automaton = docs.sparkSession.sparkContext.broadcast((built.child, built.fail, built.popped))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw")).mapInArrow(_counted(automaton), "doc_id long, n_words long, n_tokens long, n_unknown long")
