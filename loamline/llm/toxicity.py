@@ -14,6 +14,7 @@ by a logistic regression fitted on texts that the dictionaries have not seen.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import string
 import zlib
@@ -32,6 +33,8 @@ from loamline.llm.labelled import SAMPLE_ROWS, Logistic, fold, sample
 WINDOW, STEP, OWN_BYTES, LEVEL = 4, 2, 4096, 3
 #: Lengths of pieces; the least number and share of toxic texts that hold one; how many times as frequent it must be there.
 PIECES, LEAST, SHARE, RATIO = (5, 6, 7), 5, 0.015, 20
+#: Stands at the end of either dictionary and before every window. Its bytes occur nowhere else, so that both always match it in the same way.
+CARRIER = hashlib.sha512(b"carrier").digest()
 #: Differences in bytes that count a window.
 THRESHOLDS = (3, 4)
 
@@ -71,7 +74,7 @@ class Dictionaries:
         import zstandard
 
         make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False)
-        return make(self.ordinary).compress, make(self.toxic).compress, self.ordinary[-64:]
+        return make(self.ordinary).compress, make(self.toxic).compress, CARRIER
 
 
 #: A training text: its words joined by spaces, and whether it is toxic.
@@ -138,7 +141,7 @@ def train_dictionaries(texts: list[Text], count: tuple[Counter, Counter], seed:
     spans = [spans[i] for i in draw(len(spans))[:40_000]]
     ordinary = [b" " + ordinary[i] + b" " for i in draw(len(ordinary))[:200_000]]
     common = _dictionary(ordinary, 2 * OWN_BYTES)
-    return Dictionaries(_dictionary(spans, OWN_BYTES) + common, bytes(OWN_BYTES) + common)
+    return Dictionaries(_dictionary(spans, OWN_BYTES) + common + CARRIER, bytes(OWN_BYTES) + common + CARRIER)
 
 
 def features(words: list[bytes], compress) -> list[float]:
