@@ -238,3 +238,8 @@ def test_counts_as_rows_pass(spark):
     rows, seen = index.observed(index.normalise(spark.createDataFrame([("{bad",), ('{"a": 1}',)], "value string")))
     rows.collect()
     assert seen.get == {"seen": 2, "indexed": 0, "skipped": 2}
+
+
+def test_lines_end_where_unicode_says(spark):
+    got = spark.createDataFrame([("a b\r\nc\x85\n d ",)], "t string").select(answers.lines(F.col("t")).alias("x")).first().x
+    assert got == ["a", "b", "c", "d"]
