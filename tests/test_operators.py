@@ -241,5 +241,5 @@ def test_counts_as_rows_pass(spark):
 
 
 def test_lines_end_where_unicode_says(spark):
-    got = spark.createDataFrame([("a b\r\nc\x85\n d ",)], "t string").select(answers.lines(F.col("t")).alias("x")).first().x
+    got = spark.createDataFrame([("a\u2028b\r\nc\x85\n d ",)], "t string").select(answers.lines(F.col("t")).alias("x")).first().x
     assert got == ["a", "b", "c", "d"]
