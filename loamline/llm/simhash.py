@@ -151,8 +151,20 @@ def forest(ids: np.ndarray, index: np.ndarray, check: np.ndarray, block: np.ndar
     return out
 
 
-def _links(min_shared: int, max_bits: int) -> Callable:
-    """Over rows (key, i, j, block, id, index, check) sorted by key, i, j."""
+def _by_bits(min_shared: int, max_bits: int) -> Callable:
+    """Of rows with id, block, index and check, forest() of the rows from lo to hi."""
+
+    def prepare(t: pa.Table) -> Callable:
+        ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
+        index = np.frombuffer(b"".join(t.column("index").to_pylist()), np.uint8).reshape(len(ids), -1)
+        check = np.frombuffer(b"".join(t.column("check").to_pylist()), np.uint64).reshape(len(ids), -1)
+        return lambda lo, hi: forest(ids[lo:hi], index[lo:hi], check[lo:hi], block[lo:hi], min_shared, max_bits)
+
+    return prepare
+
+
+def _links(of: Callable) -> Callable:
+    """Over rows sorted by key, i, j: the links of each run of equal ones. of: gets rows and gives a function from a run's first row and end to its links."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +177,11 @@ def _links(min_shared: int, max_bits: int) -> Callable:
             ends = [*cuts.tolist(), t.num_rows] if whole else cuts.tolist()
             if not ends:
                 return [], t
-            ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
-            index = np.frombuffer(b"".join(t.column("index").to_pylist()), np.uint8).reshape(len(ids), -1)
-            check = np.frombuffer(b"".join(t.column("check").to_pylist()), np.uint64).reshape(len(ids), -1)
+            of_run = of(t.slice(0, ends[-1]))
             found, lo = [], 0
             for hi in ends:
                 if hi - lo > 1:
-                    found += forest(ids[lo:hi], index[lo:hi], check[lo:hi], block[lo:hi], min_shared, max_bits)
+                    found += of_run(lo, hi)
                 lo = hi
             return found, t.slice(lo)
 
@@ -194,16 +204,21 @@ def _links(min_shared: int, max_bits: int) -> Callable:
     return run
 
 
-def links(prints: DataFrame, sets: list[tuple[int, ...]], min_shared: int, max_bits: int) -> DataFrame:
-    """(u, v): links that span the near pairs of prints (id long, index binary, check binary), ids being distinct. index holds the bytes that are posted and tallied, check the bits that decide (a multiple of 8 bytes)."""
-    keys = prints.select("id", "index").mapInArrow(_postings(sets), "key long, id long")
+def _linked(keys: DataFrame, rows: DataFrame, length: int, of: Callable) -> DataFrame:
+    """(u, v): the links among rows (id long, and what `of` reads) that share a key of keys (key, id), in blocks of that length."""
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keys.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    met = keys.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / length).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = met.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id").join(prints, "id")
-    runs = met.repartition(partitions(prints.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return runs.select("key", "i", "j", "block", "id", "index", "check").mapInArrow(_links(min_shared, max_bits), "u long, v long")
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id").join(rows, "id")
+    runs = met.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return runs.select("key", "i", "j", "block", "id", *(c for c in rows.columns if c != "id")).mapInArrow(_links(of), "u long, v long")
+
+
+def links(prints: DataFrame, sets: list[tuple[int, ...]], min_shared: int, max_bits: int) -> DataFrame:
+    """(u, v): links that span the near pairs of prints (id long, index binary, check binary), ids being distinct. index holds the bytes that are posted and tallied, check the bits that decide (a multiple of 8 bytes)."""
+    keys = prints.select("id", "index").mapInArrow(_postings(sets), "key long, id long")
+    return _linked(keys, prints, BLOCK, _by_bits(min_shared, max_bits))
 
 
 def near_groups(docs: DataFrame, k: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,15 +257,59 @@ def differing_bits(similarity: float, bits: int) -> int:
     return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
 
 
+#: Rows of one block of texts that are compared by their sets.
+SET_BLOCK = 512
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The hashes of a text's k-word shingles, each once, ascending."""
+    return np.unique(shingle_hashes(words_of((text or "").encode()), k))
+
+
+def similar(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """The pairs of these rows whose sets have that Jaccard similarity or more, every pair compared, less those that links found before connect. Of two blocks only pairs across them count."""
+    size = np.array([len(s) for s in sets])
+    start = np.concatenate([[0], np.cumsum(size)])
+    each, place = np.unique(np.concatenate(sets), return_inverse=True)
+    within, root, out = np.zeros(len(each), bool), np.arange(len(ids)), []
+    two = (block != block[0]).any()
+    for a in range(len(ids) - 1):
+        own = place[start[a] : start[a + 1]]
+        within[own] = True
+        upto = np.concatenate([[0], np.cumsum(within[place[start[a + 1] :]])])[start[a + 1 :] - start[a + 1]]
+        within[own] = False
+        shared = upto[1:] - upto[:-1]
+        near = shared / np.maximum(1, size[a] + size[a + 1 :] - shared) >= similarity
+        if two:
+            near &= block[a + 1 :] != block[a]
+        for b in (np.flatnonzero(near) + a + 1).tolist():
+            if root[a] != root[b]:
+                root[root == root[b]] = root[a]
+                out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def _by_sets(k: int, similarity: float) -> Callable:
+    """Of rows with id, block and text, similar() of the rows from lo to hi."""
+
+    def prepare(t: pa.Table) -> Callable:
+        ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
+        sets = [shingle_set(x, k) for x in t.column("text").to_pylist()]
+        return lambda lo, hi: similar(ids[lo:hi], sets[lo:hi], block[lo:hi], similarity)
+
+    return prepare
+
+
 def _wide_fingerprints(k: int, text_at: int, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            index, check = [], []
+            index, check, same = [], [], []
             for text in b.column(text_at).to_pylist():
-                w = words_of((text or "").encode())
-                index.append(majority(np.unique(shingle_hashes(w, 2)), POSTED_LANES))
-                check.append(majority(np.unique(shingle_hashes(w, k)), CHECKED_LANES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index, pa.binary()), pa.array(check, pa.binary())], names=names)
+                own = shingle_set(text, k)
+                index.append(majority(shingle_set(text, 2), POSTED_LANES))
+                check.append(majority(own, CHECKED_LANES))
+                same.append(xxhash.xxh3_128_digest(own.tobytes()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()) for x in (index, check, same))], names=names)
 
     return run
 
@@ -258,23 +317,26 @@ def _wide_fingerprints(k: int, text_at: int, names: list[str]) -> Callable:
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group of near copies the one with the least id (null last; of equal ids, one).
 
-    Two texts are near copies if their SimHash fingerprints over sets of k-word
-    shingles differ in no more bits than texts of that Jaccard similarity do;
-    groups are connected. Candidates come from the byte-position index of a
-    second fingerprint over word pairs, which near copies share more bytes of;
-    at this similarity no count of shared bytes is guaranteed, so the positions
-    posted are a draw; the README has the measured recall.
+    Two texts are near copies if their sets of k-word shingles have that Jaccard
+    similarity or more; groups are connected. Candidates come from the
+    byte-position index of a fingerprint over word pairs and the differing bits
+    of one over the shingles; what they connect is compared set by set, and only
+    pairs of that similarity link. No count of shared bytes is guaranteed, so
+    the positions posted are a draw; the README has the measured recall.
     Null texts count as empty; texts without words are near copies of each
     other. An empty table gives no rows.
     """
-    row, index, check = "loamline_row", "loamline_index", "loamline_check"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{row} long, {index} binary, {check} binary"])
+    row, index, check, same = "loamline_row", "loamline_index", "loamline_check", "loamline_set"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{row} long, {index} binary, {check} binary, {same} binary"])
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = stored(numbered.mapInArrow(_wide_fingerprints(k, docs.columns.index(text_col), [*docs.columns, row, index, check]), schema), "near")
-    slim = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"), F.col(check).alias("check"), F.col(index).alias("index"))
-    nodes = stored(slim.groupBy("check", "index").agg(F.min("row").alias("id")), "nodes")
-    found = components(links(nodes, drawn_sets(8 * POSTED_LANES, width, SETS), width, differing_bits(similarity, 64 * CHECKED_LANES)))
-    rooted = nodes.join(found, "id", "left").select("check", "index", F.coalesce("root", "id").alias("root"))
-    members = slim.join(rooted, ["check", "index"]).select("row", "order", "root")
+    rows = stored(numbered.mapInArrow(_wide_fingerprints(k, docs.columns.index(text_col), [*docs.columns, row, index, check, same]), schema), "near")
+    slim = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"), F.col(check).alias("check"), F.col(index).alias("index"), F.col(same).alias("same"))
+    # Equal sets are one node, and have equal fingerprints.
+    nodes = stored(slim.groupBy("same", "check", "index").agg(F.min("row").alias("id")), "nodes")
+    met = components(links(nodes.select("id", "index", "check"), drawn_sets(8 * POSTED_LANES, width, SETS), width, differing_bits(similarity, 64 * CHECKED_LANES)))
+    texts = rows.select(F.col(row).alias("id"), F.col(text_col).alias("text"))
+    found = components(_linked(met.select(F.col("root").alias("key"), "id"), texts, SET_BLOCK, _by_sets(k, similarity)))
+    rooted = nodes.join(found, "id", "left").select("same", F.coalesce("root", "id").alias("root"))
+    members = slim.join(rooted, "same").select("row", "order", "root")
     stays = members.groupBy("root").agg(F.min("order").alias("first")).select(F.col("first.row").alias(row))
     return rows.join(stays, row, "left_semi").select(*docs.columns)

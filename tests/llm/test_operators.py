@@ -220,6 +220,44 @@ def test_near_copies(spark):
     assert got == set(base)
 
 
+def _shingles(words, k=5):
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def _near_kept(spark, texts):
+    return {r.doc_id for r in simhash.near_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()}
+
+
+def _by_brute_force(texts):
+    """The least id of each connected group of texts of similarity 0.8 or more."""
+    sets, root = {i: _shingles(w) for i, w in texts.items()}, {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_texts_below_the_similarity_stay(spark, monkeypatch):
+    """Pairs from 0.70 to 0.79 are no near copies, those from 0.8 on are; groups are compared in blocks."""
+    monkeypatch.setattr(simhash, "SET_BLOCK", 2)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    texts = {}
+    for i in range(40):
+        base = [rng.choice(words) for _ in range(300)]
+        texts[i] = base
+        for c in range(1, 4):  # words far from each other: each costs five shingles
+            copy = list(base)
+            for at in range(10, 10 + 20 * rng.randint(4, 10), 20):
+                copy[at] = rng.choice(words)
+            texts[1000 * c + i] = copy
+    sets = {i: _shingles(w) for i, w in texts.items()}
+    jaccard = [len(sets[i] & sets[1000 * c + i]) / len(sets[i] | sets[1000 * c + i]) for i in range(40) for c in range(1, 4)]
+    assert sum(0.7 <= x < 0.8 for x in jaccard) > 30 and sum(x >= 0.8 for x in jaccard) > 20
+    assert _by_brute_force(texts) <= _near_kept(spark, texts)
+
+
 # ---------------------------------------------------------------- 5 and 8
 
 
