@@ -16,7 +16,7 @@ pair of blocks, and gives only the links of a spanning forest, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +38,6 @@ def quads_of_eight() -> list[tuple[int, ...]]:
     return [tuple(first), tuple(second), *(a + b for m, n in zip(match(first), match(second)) for a in m for b in n)]
 
 
-def drawn_sets(n_bytes: int, width: int, n: int, seed: int = 1) -> list[tuple[int, ...]]:
-    """n distinct sets of width (at most 4) positions, drawn evenly, for fingerprints whose count isn't guaranteed."""
-    every = list(combinations(range(n_bytes), width))
-    return [every[i] for i in np.random.default_rng(seed).permutation(len(every))[:n]]
-
-
 # ---------------------------------------------------------------- fingerprints
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -152,12 +146,12 @@ def forest(ids: np.ndarray, index: np.ndarray, check: np.ndarray, block: np.ndar
 
 
 def _by_bits(min_shared: int, max_bits: int) -> Callable:
-    """Of rows with id, block, index and check, forest() of the rows from lo to hi."""
+    """Of rows with id, block, index and check, forest() of the rows from lo to hi. index isn't read where nothing must be shared."""
 
     def prepare(t: pa.Table) -> Callable:
         ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
-        index = np.frombuffer(b"".join(t.column("index").to_pylist()), np.uint8).reshape(len(ids), -1)
         check = np.frombuffer(b"".join(t.column("check").to_pylist()), np.uint64).reshape(len(ids), -1)
+        index = np.frombuffer(b"".join(t.column("index").to_pylist()), np.uint8).reshape(len(ids), -1) if min_shared else check
         return lambda lo, hi: forest(ids[lo:hi], index[lo:hi], check[lo:hi], block[lo:hi], min_shared, max_bits)
 
     return prepare
@@ -245,18 +239,10 @@ def near_groups(docs: DataFrame, k: int = 3, max_bits: int = 3, id_col: str = "d
 
 # ---------------------------------------------------------------- near copies by similarity
 
-#: Bytes posted (over pairs of words) and lanes of 64 bits verified (over the shingles proper).
-POSTED_LANES, CHECKED_LANES = 2, 16
-#: Position sets that are posted, of 560, and their width. Each list holds about 1 / 256^width of the corpus: beyond some 10^8 texts take a width of 4 and three times as many.
-SETS, WIDTH = 96, 3
-
-
-def differing_bits(similarity: float, bits: int) -> int:
-    """The differing bits that two sets of that Jaccard similarity and equal size are expected to have, and two standard deviations more: a pair at the limit is found in 49 of 50 cases, one above it more surely."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
-
-
+#: Lanes of 64 bits of the fingerprint over a text's shingles, and the differing bits up to which two are compared set by set. Sets of similarity 0.8 differ in 155 bits of 1,024 with a deviation of 11.5; the worst small ones (4 of 5 shingles) in 192 with 12.5.
+CHECKED_LANES, MAX_BITS = 16, 256
+#: The shingles that come last in the order: at most so many of those that are in at least LEAST_TEXTS texts of one in SAMPLE.
+FREQUENT, LEAST_TEXTS, SAMPLE = 16384, 4, 16
 #: Rows of one block of texts that are compared by their sets.
 SET_BLOCK = 512
 
@@ -300,40 +286,89 @@ def _by_sets(k: int, similarity: float) -> Callable:
     return prepare
 
 
-def _wide_fingerprints(k: int, text_at: int, names: list[str]) -> Callable:
+def _shingle_counts(k: int) -> Callable:
+    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x, k) for x in b.column(0).to_pylist()]
+            if sets:
+                each, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+
+    return run
+
+
+def frequent_shingles(docs: DataFrame, k: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, ascending, and the rank of each, the most frequent last, counted over one text in SAMPLE. They decide only which shingles are posted, and so how long the lists are, never which pairs are found."""
+    some = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = some.mapInArrow(_shingle_counts(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    most = np.array([r.shingle for r in counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()][::-1], np.int64).view(np.uint64)
+    rank = np.argsort(most)
+    return most[rank], rank
+
+
+def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set (ascending hashes) in an order that all sets share: frequent ones (ascending too) last, by rank.
+
+    Two sets of that Jaccard similarity have at least that share of either in
+    common; leaving one less than that off the end of each, the rest of both
+    holds the first of what they share. So near copies always meet.
+    """
+    n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+    if not len(frequent):
+        return own[:n]
+    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+    late = frequent[at] == own
+    at = at[late]
+    return np.concatenate([own[~late], frequent[at[np.argsort(rank[at])]]])[:n]
+
+
+def _set_fingerprints(k: int, similarity: float, frequent: np.ndarray, rank: np.ndarray, text_at: int, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            index, check, same = [], [], []
+            posted, check, same = [], [], []
             for text in b.column(text_at).to_pylist():
                 own = shingle_set(text, k)
-                index.append(majority(shingle_set(text, 2), POSTED_LANES))
+                posted.append(prefix(own, frequent, rank, similarity).tobytes())
                 check.append(majority(own, CHECKED_LANES))
                 same.append(xxhash.xxh3_128_digest(own.tobytes()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()) for x in (index, check, same))], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()) for x in (posted, check, same))], names=names)
 
     return run
 
 
-def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) for each of the 8-byte keys of (id, posted)."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+    for b in batches:
+        for lo in range(0, b.num_rows, 4096):
+            part = b.slice(lo, 4096)
+            keys = part.column(1).to_pylist()
+            ids = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(ids)], schema=schema)
+
+
+def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group of near copies the one with the least id (null last; of equal ids, one).
 
     Two texts are near copies if their sets of k-word shingles have that Jaccard
-    similarity or more; groups are connected. Candidates come from the
-    byte-position index of a fingerprint over word pairs and the differing bits
-    of one over the shingles; what they connect is compared set by set, and only
-    pairs of that similarity link. No count of shared bytes is guaranteed, so
-    the positions posted are a draw; the README has the measured recall.
+    similarity or more; groups are connected. Texts that share one of the
+    shingles posted for them, as all near copies do (see prefix), and whose
+    SimHash fingerprints differ in at most MAX_BITS are candidates; what these
+    connect is compared set by set, and only pairs of that similarity link.
     Null texts count as empty; texts without words are near copies of each
     other. An empty table gives no rows.
     """
-    row, index, check, same = "loamline_row", "loamline_index", "loamline_check", "loamline_set"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{row} long, {index} binary, {check} binary, {same} binary"])
+    row, posted, check, same = "loamline_row", "loamline_posted", "loamline_check", "loamline_set"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{row} long, {posted} binary, {check} binary, {same} binary"])
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = stored(numbered.mapInArrow(_wide_fingerprints(k, docs.columns.index(text_col), [*docs.columns, row, index, check, same]), schema), "near")
-    slim = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"), F.col(check).alias("check"), F.col(index).alias("index"), F.col(same).alias("same"))
-    # Equal sets are one node, and have equal fingerprints.
-    nodes = stored(slim.groupBy("same", "check", "index").agg(F.min("row").alias("id")), "nodes")
-    met = components(links(nodes.select("id", "index", "check"), drawn_sets(8 * POSTED_LANES, width, SETS), width, differing_bits(similarity, 64 * CHECKED_LANES)))
+    rows = stored(numbered.mapInArrow(_set_fingerprints(k, similarity, *frequent_shingles(docs, k, text_col), docs.columns.index(text_col), [*docs.columns, row, posted, check, same]), schema), "near")
+    slim = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"), F.col(check).alias("check"), F.col(posted).alias("posted"), F.col(same).alias("same"))
+    # Equal sets are one node, and have equal fingerprints and postings.
+    nodes = stored(slim.groupBy("same", "check", "posted").agg(F.min("row").alias("id")), "nodes")
+    keys = nodes.select("id", "posted").mapInArrow(_posted, "key long, id long")
+    met = components(_linked(keys, nodes.select("id", "check"), BLOCK, _by_bits(0, MAX_BITS)))
     texts = rows.select(F.col(row).alias("id"), F.col(text_col).alias("text"))
     found = components(_linked(met.select(F.col("root").alias("key"), "id"), texts, SET_BLOCK, _by_sets(k, similarity)))
     rooted = nodes.join(found, "id", "left").select("same", F.coalesce("root", "id").alias("root"))

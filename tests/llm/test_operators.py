@@ -258,6 +258,37 @@ def test_texts_below_the_similarity_stay(spark, monkeypatch):
     assert _by_brute_force(texts) <= _near_kept(spark, texts)
 
 
+def test_near_copies_by_block_edits(spark, monkeypatch):
+    """Passages appended, cut off or replaced, single words, short texts and a line that most texts have: the same as all pairs, with short lists and blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "SET_BLOCK", 4)
+    monkeypatch.setattr(simhash, "LEAST_TEXTS", 2)
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    line, texts = some(20), {}
+    for i in range(60):
+        n = rng.choice((7, 9, 30, 300))
+        base = some(n) + line * (i % 3 > 0)
+        at, m = rng.randrange(n), rng.randint(1, n // 4)
+        texts |= {i: base, 100 + i: base + some(m), 200 + i: base[m:], 300 + i: base[:at] + some(m) + base[at + m :], 400 + i: base[:at] + some(1) + base[at + 1 :]}
+    assert _near_kept(spark, texts) == _by_brute_force(texts)
+
+
+def test_prefixes_meet():
+    """Every pair of sets at the similarity, whatever is frequent."""
+    rng = np.random.default_rng(11)
+    for n in range(1, 120):
+        both = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        more = int(n * 0.25 + 1e-9)
+        own = int(rng.integers(0, more + 1))
+        new = rng.integers(0, 1 << 63, more).astype(np.uint64)
+        a, b = np.unique(np.concatenate([both, new[:own]])), np.unique(np.concatenate([both, new[own:]]))
+        for frequent in map(np.sort, (both[: n // 2], both, new, both[:0])):
+            rank = rng.permutation(len(frequent))
+            assert np.isin(simhash.prefix(a, frequent, rank, 0.8), simhash.prefix(b, frequent, rank, 0.8)).any()
+
+
 # ---------------------------------------------------------------- 5 and 8
 
 
