@@ -1,15 +1,18 @@
 """Toxicity by compression distance, with one zstandard dictionary per class.
 
-A toxic text is ordinary but for some of its words, so the toxic dictionary is
-trained on the spans of toxic texts that ordinary texts all but lack: the pieces
-(character sequences of a word) found in a far greater share of toxic texts. The
-ordinary dictionary is trained on ordinary words. The toxic dictionary goes in
-front of the ordinary one and padding of its size takes its place in the other,
-so that a window without toxic spans costs the same under both. A window of a
-few words is compressed behind a fixed carrier that both dictionaries hold:
-without it, zstandard would store short windows as they are. A text's largest differences of window lengths, how
-many windows exceed two thresholds, and how many windows it has give its score
-by a logistic regression fitted on texts that the dictionaries have not seen.
+A toxic text is ordinary but for some of its words: a dictionary of whole toxic
+texts is one of ordinary words for the most part, and tells little. So the toxic
+dictionary is trained on the spans of toxic texts that ordinary texts all but
+lack: the pieces (character sequences of a word) found in a far greater share of
+toxic texts. The ordinary dictionary is trained on the words of ordinary texts.
+The toxic dictionary goes in front of the ordinary one and padding of its size
+takes its place in the other, so that a window without toxic spans costs the
+same under both. A window of two words is compressed behind a fixed carrier that
+both dictionaries hold: without it, zstandard would store short windows as they
+are. A text's largest differences of window lengths, how many windows reach each
+threshold, and how many windows it has give its score by a logistic regression.
+Regression and thresholds come from texts that the dictionaries at hand have not
+seen.
 """
 
 from __future__ import annotations
@@ -29,22 +32,31 @@ from pyspark.sql import functions as F
 
 from loamline.llm.labelled import SAMPLE_ROWS, Logistic, fold, sample
 
-#: Words per window and from one window to the next; bytes of a dictionary's own part; zstandard's level.
-WINDOW, STEP, OWN_BYTES, LEVEL = 4, 2, 4096, 3
+#: Words per window and from one window to the next; bytes of the toxic dictionary's own part (the ordinary part has twice as many); zstandard's level.
+WINDOW, STEP, OWN_BYTES, LEVEL = 2, 1, 8192, 3
+#: A longer run of bytes without a space counts as several words.
+WORD_BYTES = 64
 #: Lengths of pieces; the least number and share of toxic texts that hold one; how many times as frequent it must be there.
 PIECES, LEAST, SHARE, RATIO = (5, 6, 7), 5, 0.015, 20
+#: The trainer's segments and the pieces that it counts, in bytes.
+SEGMENT, PIECE = 50, 8
 #: Stands at the end of either dictionary and before every window. Its bytes occur nowhere else, so that both always match it in the same way.
 CARRIER = hashlib.sha512(b"carrier").digest()
-#: Differences in bytes that count a window.
-THRESHOLDS = (3, 4)
+#: Thresholds: the least difference that at most this share of the ordinary windows reaches, out of fold.
+RARE = (1e-2, 1e-3, 1e-4)
+#: Windows whose difference a task remembers before it starts anew.
+MEMORY = 250_000
 
 
 _SPACED = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 
 
 def _words(text: str) -> list[bytes]:
-    """In lower case, cut at white space and ASCII punctuation."""
-    return text.lower().encode().translate(_SPACED).split()
+    """In lower case, cut at white space and ASCII punctuation, and after WORD_BYTES bytes."""
+    words = text.lower().encode().translate(_SPACED).split()
+    if max(map(len, words), default=0) <= WORD_BYTES:
+        return words
+    return [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
 
 
 def _pieces(word: bytes) -> list[bytes]:
@@ -59,7 +71,7 @@ def _dictionary(spans: list[bytes], size: int) -> bytes:
 
     groups = [b"".join(spans[i : i + 8]) for i in range(0, len(spans), 8)]
     try:
-        body = zstandard.train_dictionary(size, groups).as_bytes()
+        body = zstandard.train_dictionary(size, groups, k=SEGMENT, d=PIECE).as_bytes()
     except zstandard.ZstdError:
         body = b"".join(s for s, _ in reversed(Counter(spans).most_common(size // 8)))
     return body[-size:].rjust(size, b"\0")
@@ -74,7 +86,7 @@ class Dictionaries:
         import zstandard
 
         make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False)
-        return make(self.ordinary).compress, make(self.toxic).compress, CARRIER
+        return make(self.ordinary).compress, make(self.toxic).compress
 
 
 #: A training text: its words joined by spaces, and whether it is toxic.
@@ -99,7 +111,7 @@ def _counts(texts: list[Text], folds: int) -> list[tuple[Counter, Counter]]:
     toxic: Counter = Counter()
     for text, y in texts:
         if y:
-            toxic.update({p for w in set(text.split()) for p in _pieces(w[:64])})
+            toxic.update({p for w in set(text.split()) for p in _pieces(w)})
     worth = {p for p, c in toxic.items() if c >= LEAST}
     del toxic
     out = [(Counter(), Counter()) for _ in range(folds)]
@@ -108,7 +120,7 @@ def _counts(texts: list[Text], folds: int) -> list[tuple[Counter, Counter]]:
         found: set[bytes] = set()
         for w in set(text.split()):
             if w not in of_word:
-                of_word[w] = tuple(worth.intersection(_pieces(w[:64])))
+                of_word[w] = tuple(worth.intersection(_pieces(w)))
             found.update(of_word[w])
         out[i % folds][y].update(found)
     return out
@@ -126,11 +138,11 @@ def train_dictionaries(texts: list[Text], count: tuple[Counter, Counter], seed:
     spans, ordinary = [], []
     for text, y in texts:
         if not y:
-            ordinary += text.split()[::6]
+            ordinary += text.split()
             continue
         for word in text.split():
-            if not telling.isdisjoint(_pieces(word[:64])):
-                w = b" " + word[:64] + b" "
+            if not telling.isdisjoint(_pieces(word)):
+                w = b" " + word + b" "
                 covered = bytearray(len(w))
                 for k in (*PIECES, len(w)):
                     for i in range(len(w) - k + 1):
@@ -138,61 +150,81 @@ def train_dictionaries(texts: list[Text], count: tuple[Counter, Counter], seed:
                             covered[i : i + k] = b"1" * k
                 spans += [w[m.start() : m.end()] for m in re.finditer(b"1+", bytes(covered))]
     draw = np.random.default_rng(seed).permutation
-    spans = [spans[i] for i in draw(len(spans))[:40_000]]
-    ordinary = [b" " + ordinary[i] + b" " for i in draw(len(ordinary))[:200_000]]
+    spans = [spans[i] for i in draw(len(spans))]
+    ordinary = [b" " + ordinary[i] + b" " for i in draw(len(ordinary))]
     common = _dictionary(ordinary, 2 * OWN_BYTES)
     return Dictionaries(_dictionary(spans, OWN_BYTES) + common + CARRIER, bytes(OWN_BYTES) + common + CARRIER)
 
 
-def features(words: list[bytes], compress) -> list[float]:
-    ordinary, toxic, carrier = compress
-    differences = []
-    for i in range(0, max(1, len(words) - WINDOW + STEP), STEP):
-        window = carrier + b" " + b" ".join(words[i : i + WINDOW]) + b" "
-        differences.append(len(ordinary(window)) - len(toxic(window)))
-    d = np.sort(np.array(differences, float))[::-1]
-    return [d[0], d[:2].mean(), d[:4].mean(), d[:8].mean(), *(np.log1p((d >= t).sum()) for t in THRESHOLDS), np.log(len(d))]
+class Differences:
+    """The bytes that the toxic dictionary saves on each window of a text, the greatest first. Most windows repeat, and are compressed once."""
+
+    def __init__(self, d: Dictionaries) -> None:
+        self.ordinary, self.toxic = d.compressors()
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        known, out = self.known, []
+        for i in range(0, max(1, len(words) - WINDOW + STEP), STEP):
+            window = b" ".join(words[i : i + WINDOW])
+            d = known.get(window)
+            if d is None:
+                whole = CARRIER + b" " + window + b" "
+                d = known[window] = len(self.ordinary(whole)) - len(self.toxic(whole))
+            out.append(d)
+        return -np.sort(-np.array(out, float))
+
+
+def features(d: np.ndarray, thresholds: tuple[float, ...]) -> list[float]:
+    return [d[0], d[:2].mean(), d[:4].mean(), d[:8].mean(), *(np.log1p((d >= t).sum()) for t in thresholds), np.log(len(d))]
 
 
 @dataclass
 class ToxicityModel:
     dictionaries: Dictionaries | None
     logistic: Logistic | None
+    thresholds: tuple[float, ...] = ()
 
-    def scores(self, texts: list[str]) -> list[float]:
+    def scorer(self):
+        """From texts to scores."""
         if self.logistic is None:
-            return [0.0] * len(texts)
-        compress = self.dictionaries.compressors()
-        return self.logistic(np.array([features(_words(t), compress) for t in texts]).reshape(len(texts), -1)).tolist()
+            return lambda texts: [0.0] * len(texts)
+        found = Differences(self.dictionaries)
+        return lambda texts: self.logistic(np.array([features(found(_words(t)), self.thresholds) for t in texts]).reshape(len(texts), -1)).tolist()
 
 
 def fit(rows: list[tuple[str, int]], folds: int = 3) -> ToxicityModel:
-    """rows: (text, toxic). The regression sees each text under dictionaries trained without its fold; the dictionaries that stay are trained on all. Without toxic or without ordinary rows every score is 0."""
+    """rows: (text, toxic). Thresholds and regression see each text under dictionaries trained without its fold; the dictionaries that stay are trained on all. Without toxic or without ordinary rows every score is 0."""
     texts = _different([(b" ".join(_words(t)), y) for t, y in rows])
     y = np.array([y for _, y in texts])
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, None)
     parts = _counts(texts, folds)
-    x = np.empty((len(texts), 5 + len(THRESHOLDS)))
+    found: list[np.ndarray] = [np.empty(0)] * len(texts)
     for k in range(folds):
         rest = [t for i, t in enumerate(texts) if i % folds != k]
-        compress = train_dictionaries(rest, _sum(parts[:k] + parts[k + 1 :])).compressors()
+        difference = Differences(train_dictionaries(rest, _sum(parts[:k] + parts[k + 1 :])))
         for i in range(k, len(texts), folds):
-            x[i] = features(texts[i][0].split(), compress)
-    return ToxicityModel(train_dictionaries(texts, _sum(parts)), Logistic(x, y))
+            found[i] = difference(texts[i][0].split())
+    usual = np.sort(np.concatenate([d for d, toxic in zip(found, y) if not toxic]))
+    thresholds = tuple(float(usual[-1 - int(share * len(usual))]) + 1 for share in RARE)
+    return ToxicityModel(train_dictionaries(texts, _sum(parts)), Logistic(np.array([features(d, thresholds) for d in found]), y), thresholds)
 
 
 def _scored(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
         for b in batches:
-            scores = model.scores(b.column("loamline_text").to_pylist())
+            scores = score(b.column("loamline_text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "loamline_score"])
 
     return run
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """docs with a column loamline_score."""
+    """docs with a column loamline_score. Null texts count as empty."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "loamline_score double"])
     return docs.withColumn("loamline_text", F.coalesce(text_col, F.lit(""))).mapInArrow(_scored(model), schema)
 
@@ -214,5 +246,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns."""
+    """The rows of docs that score below threshold, with all their columns. Nulls, repeated rows and empty tables are as in toxicity()."""
     return with_score(docs, fit(sample(docs, labels, "toxic", sample_rows))).where(F.col("loamline_score") < threshold).drop("loamline_score")
