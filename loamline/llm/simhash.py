@@ -6,11 +6,13 @@ B - d bytes at the same positions. The index would post a fingerprint under each
 costs the square of its size. What is posted instead are (four positions, their
 bytes), for a family of position quads such that any two fingerprints reaching
 the guaranteed count meet under at least one quad: its bytes are four of the
-tallied ones. Fingerprints that meet are tallied (bytes shared over all
-positions), kept if they reach the minimum, and verified by the differing bits.
+tallied ones, so two that meet by chance share four. Fingerprints that meet are
+tallied (bytes shared over all positions), go on if they reach the minimum, and
+only these are verified by the differing bits.
 
 Equal fingerprints are one node. A list is compared in blocks, pair of blocks by
-pair of blocks, and gives only the links of a spanning forest, never all pairs.
+pair of blocks, and gives only the links of a spanning forest, never all pairs;
+rows that a link has reached are not compared with each other again.
 """
 
 from __future__ import annotations
@@ -113,45 +115,50 @@ def _postings(sets: list[tuple[int, ...]]) -> Callable:
     return run
 
 
-def forest(ids: np.ndarray, index: np.ndarray, check: np.ndarray, block: np.ndarray, min_shared: int, max_bits: int) -> list[tuple[int, int]]:
-    """Links that span what is linked among these rows. index: bytes to tally; check: 64-bit words to verify. Of two blocks only pairs across them count: those within are another task's."""
-    n = len(ids)
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    two = block[0] != block[-1] or (block != block[0]).any()
-    out = []
-    step = max(1, (1 << 22) // max(1, n * check.shape[1]))
-    for lo in range(0, n, step):
-        rows = slice(lo, min(n, lo + step))
-        near = np.bitwise_count(check[rows, None, :] ^ check[None, lo:, :]).sum(-1, dtype=np.uint16) <= max_bits
-        a, b = np.nonzero(near)
-        a, b = a + lo, b + lo
-        keep = b > a
-        if two:
-            keep &= block[a] != block[b]
-        a, b = a[keep], b[keep]
-        tally = (index[a] == index[b]).sum(-1) >= min_shared
-        for x, y in zip(a[tally].tolist(), b[tally].tolist()):
-            rx, ry = find(x), find(y)
-            if rx != ry:
-                root[ry] = rx
-                out.append((int(ids[x]), int(ids[y])))
+def spread(n: int, block: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], at_once: int) -> list[tuple[int, int]]:
+    """Links that span the components of rows 0 to n - 1 under near(pivots, others) -> bool matrix. A row is a pivot once, and is compared only with rows that no link has reached yet: in a group of near copies nearly all are reached from the first. Of two blocks only pairs across them count: those within are another task's."""
+    two = (block != block[0]).any()
+    left, out = np.arange(n), []
+    while len(left):
+        queue, left = left[:1], left[1:]
+        while len(queue) and len(left):
+            pivots, queue = np.split(queue, [min(len(queue), max(1, at_once // len(left)))])
+            hit = near(pivots, left)
+            if two:
+                hit &= block[pivots, None] != block[left]
+            reached = hit.any(0)
+            if reached.any():
+                out += zip(pivots[hit[:, reached].argmax(0)].tolist(), left[reached].tolist())
+                queue, left = np.concatenate([queue, left[reached]]), left[~reached]
     return out
 
 
+def forest(ids: np.ndarray, index: np.ndarray, check: np.ndarray, block: np.ndarray, min_shared: int, max_bits: int, seen: dict | None = None) -> list[tuple[int, int]]:
+    """Links that span what is linked among these rows (see spread). index: bytes to tally: the shared positions of every pair compared are counted, and pairs short of min_shared go; check: 64-bit words to verify what stays. seen: the numbers of pairs tallied, verified and near are added to it."""
+
+    def near(pivots: np.ndarray, others: np.ndarray) -> np.ndarray:
+        shared = np.zeros((len(pivots), len(others)), np.uint16)
+        for place in range(index.shape[1]):
+            shared += index[pivots, None, place] == index[None, others, place]
+        enough = shared >= min_shared
+        a, b = np.nonzero(enough)
+        enough[a, b] = np.bitwise_count(check[pivots[a]] ^ check[others[b]]).sum(-1, dtype=np.uint16) <= max_bits
+        if seen is not None:
+            seen["tallied"] += enough.size
+            seen["verified"] += len(a)
+            seen["near"] += int(enough.sum())
+        return enough
+
+    return [(int(ids[a]), int(ids[b])) for a, b in spread(len(ids), block, near, 1 << 21)]
+
+
 def _by_bits(min_shared: int, max_bits: int) -> Callable:
-    """Of rows with id, block, index and check, forest() of the rows from lo to hi. index isn't read where nothing must be shared."""
+    """Of rows with id, block and fingerprint, forest() of the rows from lo to hi: its bytes are tallied, its bits verified."""
 
     def prepare(t: pa.Table) -> Callable:
         ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
-        check = np.frombuffer(b"".join(t.column("check").to_pylist()), np.uint64).reshape(len(ids), -1)
-        index = np.frombuffer(b"".join(t.column("index").to_pylist()), np.uint8).reshape(len(ids), -1) if min_shared else check
+        raw = b"".join(t.column("fingerprint").to_pylist())
+        index, check = np.frombuffer(raw, np.uint8).reshape(len(ids), -1), np.frombuffer(raw, np.uint64).reshape(len(ids), -1)
         return lambda lo, hi: forest(ids[lo:hi], index[lo:hi], check[lo:hi], block[lo:hi], min_shared, max_bits)
 
     return prepare
@@ -210,8 +217,8 @@ def _linked(keys: DataFrame, rows: DataFrame, length: int, of: Callable) -> Data
 
 
 def links(prints: DataFrame, sets: list[tuple[int, ...]], min_shared: int, max_bits: int) -> DataFrame:
-    """(u, v): links that span the near pairs of prints (id long, index binary, check binary), ids being distinct. index holds the bytes that are posted and tallied, check the bits that decide (a multiple of 8 bytes)."""
-    keys = prints.select("id", "index").mapInArrow(_postings(sets), "key long, id long")
+    """(u, v): links that span the near pairs of prints (id long, fingerprint binary of a multiple of 8 bytes), ids being distinct. Bytes of sets of positions are posted, all bytes tallied, all bits verified."""
+    keys = prints.select("id", "fingerprint").mapInArrow(_postings(sets), "key long, id long")
     return _linked(keys, prints, BLOCK, _by_bits(min_shared, max_bits))
 
 
@@ -228,7 +235,7 @@ def near_groups(docs: DataFrame, k: int = 3, max_bits: int = 3, id_col: str = "d
     by_doc = stored(fingerprints(docs, k, id_col, text_col), "simhash")
     nodes = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     raw = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
-    prints = nodes.select(F.col("fp").alias("id"), raw.alias("index"), raw.alias("check"))
+    prints = nodes.select(F.col("fp").alias("id"), raw.alias("fingerprint"))
     # 8 bytes of which at most max_bits differ
     found = components(links(prints, quads_of_eight(), 8 - max_bits, max_bits))
     rooted = nodes.join(found, nodes["fp"] == found["id"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
@@ -239,12 +246,12 @@ def near_groups(docs: DataFrame, k: int = 3, max_bits: int = 3, id_col: str = "d
 
 # ---------------------------------------------------------------- near copies by similarity
 
-#: Lanes of 64 bits of the fingerprint over a text's shingles, and the differing bits up to which two are compared set by set. Sets of similarity 0.8 differ in 155 bits of 1,024 with a deviation of 11.5; the worst small ones (4 of 5 shingles) in 192 with 12.5.
-CHECKED_LANES, MAX_BITS = 16, 256
+#: Lanes of 64 bits of the fingerprint over a text's shingles; how many of its 128 bytes two texts must share at their positions, and the differing bits up to which they are then compared set by set. Sets of similarity 0.8 differ in 155 bits of 1,024 with a deviation of 11.5 and share 35 bytes with one of 5; the worst small ones (4 of 5 shingles) differ in 192 with 12.5 and share 24 with one of 4.4; unlike texts share half a byte.
+CHECKED_LANES, MIN_SHARED, MAX_BITS = 16, 5, 256
 #: The shingles that come last in the order: at most so many of those that are in at least LEAST_TEXTS texts of one in SAMPLE.
 FREQUENT, LEAST_TEXTS, SAMPLE = 16384, 4, 16
 #: Rows of one block of texts that are compared by their sets.
-SET_BLOCK = 512
+SET_BLOCK = 2048
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -253,26 +260,29 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def similar(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """The pairs of these rows whose sets have that Jaccard similarity or more, every pair compared, less those that links found before connect. Of two blocks only pairs across them count."""
+    """Links that span what is linked among these rows (see spread), two rows being near if their sets have that Jaccard similarity or more."""
     size = np.array([len(s) for s in sets])
     start = np.concatenate([[0], np.cumsum(size)])
     each, place = np.unique(np.concatenate(sets), return_inverse=True)
-    within, root, out = np.zeros(len(each), bool), np.arange(len(ids)), []
-    two = (block != block[0]).any()
-    for a in range(len(ids) - 1):
-        own = place[start[a] : start[a + 1]]
-        within[own] = True
-        upto = np.concatenate([[0], np.cumsum(within[place[start[a + 1] :]])])[start[a + 1 :] - start[a + 1]]
-        within[own] = False
-        shared = upto[1:] - upto[:-1]
-        near = shared / np.maximum(1, size[a] + size[a + 1 :] - shared) >= similarity
-        if two:
-            near &= block[a + 1 :] != block[a]
-        for b in (np.flatnonzero(near) + a + 1).tolist():
-            if root[a] != root[b]:
-                root[root == root[b]] = root[a]
-                out.append((int(ids[a]), int(ids[b])))
-    return out
+    within = np.zeros(len(each), bool)
+    held: dict = {"rows": None}
+
+    def near(pivots: np.ndarray, others: np.ndarray) -> np.ndarray:
+        if held["rows"] is not others:  # the places of all their sets, in a row
+            held["rows"] = others
+            held["places"] = place if len(others) == len(ids) else np.concatenate([place[start[o] : start[o + 1]] for o in others.tolist()])
+            held["ends"] = np.concatenate([[0], np.cumsum(size[others])])
+        out = np.empty((len(pivots), len(others)), bool)
+        for row, a in enumerate(pivots.tolist()):
+            own = place[start[a] : start[a + 1]]
+            within[own] = True
+            upto = np.concatenate([[0], np.cumsum(within[held["places"]])])[held["ends"]]
+            within[own] = False
+            shared = upto[1:] - upto[:-1]
+            out[row] = shared / np.maximum(1, size[a] + size[others] - shared) >= similarity
+        return out
+
+    return [(int(ids[a]), int(ids[b])) for a, b in spread(len(ids), block, near, 1)]
 
 
 def _by_sets(k: int, similarity: float) -> Callable:
@@ -354,9 +364,10 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
 
     Two texts are near copies if their sets of k-word shingles have that Jaccard
     similarity or more; groups are connected. Texts that share one of the
-    shingles posted for them, as all near copies do (see prefix), and whose
-    SimHash fingerprints differ in at most MAX_BITS are candidates; what these
-    connect is compared set by set, and only pairs of that similarity link.
+    shingles posted for them, as all near copies do (see prefix), whose SimHash
+    fingerprints share at least MIN_SHARED bytes at their positions and differ
+    in at most MAX_BITS are candidates; what these connect is compared set by
+    set, and only pairs of that similarity link.
     Null texts count as empty; texts without words are near copies of each
     other. An empty table gives no rows.
     """
@@ -368,7 +379,7 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     # Equal sets are one node, and have equal fingerprints and postings.
     nodes = stored(slim.groupBy("same", "check", "posted").agg(F.min("row").alias("id")), "nodes")
     keys = nodes.select("id", "posted").mapInArrow(_posted, "key long, id long")
-    met = components(_linked(keys, nodes.select("id", "check"), BLOCK, _by_bits(0, MAX_BITS)))
+    met = components(_linked(keys, nodes.select("id", F.col("check").alias("fingerprint")), BLOCK, _by_bits(MIN_SHARED, MAX_BITS)))
     texts = rows.select(F.col(row).alias("id"), F.col(text_col).alias("text"))
     found = components(_linked(met.select(F.col("root").alias("key"), "id"), texts, SET_BLOCK, _by_sets(k, similarity)))
     rooted = nodes.join(found, "id", "left").select("same", F.coalesce("root", "id").alias("root"))

@@ -4,7 +4,8 @@ The tokenizer's pre-tokenizer never joins characters across white space and
 drops the white space itself, so a text's ids are its chunks' ids in order; nor
 does it join letters and punctuation, and it lower-cases. So a chunk of letters
 with ASCII punctuation behind it is the word and the punctuation, either in
-order, and most words repeat: each task encodes a distinct word once.
+order, unless the word's lower case ends in a mark, which may join what follows.
+Most words repeat: each task encodes a distinct word once.
 """
 
 from __future__ import annotations
@@ -67,9 +68,9 @@ class ChunkEncoder:
                 words[c] = None
             else:
                 word = c.rstrip(marks)
-                if word.isalpha():
+                low = word.lower()
+                if word.isalpha() and low[-1].isalpha():
                     tail = c[len(word) :]
-                    low = word.lower()
                     if low != word and max(word) <= "ÿ":
                         word = low
                     parts.append((c, word, tail))
