@@ -8,7 +8,8 @@ all others go to spill files by the next bits of the hash, and each spill file
 is a bucket of its own, handled in the same way one level down.
 
 The same table runs once over every input partition before the exchange, so
-that a text with any number of copies is sent at most once per partition.
+that a text with any number of copies is sent at most once per partition. What
+a table holds of a text doesn't grow with its copies.
 """
 
 from __future__ import annotations
@@ -84,18 +85,21 @@ class ContentTable:
         slots[i] = e
 
 
-def grace(records: Iterator[tuple[int, bytes, object]], merge: Callable, budget: int = TABLE_BYTES, level: int = 0) -> Iterator[ContentTable]:
-    """Tables that together hold every distinct content once. records: (hash, content, value); merge(old or None, value) gives an entry's value. A content's records all meet in one table."""
+def grace(records: Iterator[tuple[int, bytes, object]], merge: Callable, budget: int = TABLE_BYTES, level: int = 0, member: Callable | None = None) -> Iterator:
+    """Tables that together hold every distinct content once. records: (hash, content, value); merge(old or None, value, content) gives an entry's value. A content's records all meet in one table. member(entry's value, value): if given, what it makes of each record is yielded as soon as the record is placed, so that an entry need not hold its records."""
     table, full, spills = ContentTable(), False, {}
     folder = None
     try:
         for h, content, value in records:
             e = table.find(h, content)
             if e >= 0:
-                table.values[e] = merge(table.values[e], value)
+                table.values[e] = merge(table.values[e], value, content)
             elif not full:
-                table.add(h, content, merge(None, value))
+                e = table.add(h, content, merge(None, value, content))
                 full = table.bytes > budget and level < LEVELS
+            if e >= 0:
+                if member:
+                    yield member(table.values[e], value)
             else:
                 if folder is None:
                     folder = tempfile.TemporaryDirectory(prefix="grace-")
@@ -106,7 +110,7 @@ def grace(records: Iterator[tuple[int, bytes, object]], merge: Callable, budget:
         yield table
         del table
         for bucket in sorted(spills):
-            yield from grace(_spilled(spills[bucket]), merge, budget, level + 1)
+            yield from grace(_spilled(spills[bucket]), merge, budget, level + 1, member)
             spills.pop(bucket).close()
     finally:
         for f in spills.values():
@@ -157,7 +161,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 def _local(budget: int):
-    """Of one input partition: a member row for each document, and a row for each distinct text that stands for them from here on."""
+    """Of one input partition: a member row for each document, as it is read, and a row for each distinct text that stands for them from here on."""
 
     def records(batches):
         for b in batches:
@@ -165,20 +169,26 @@ def _local(budget: int):
                 content = normalised(raw)
                 yield xxhash.xxh64_intdigest(content), content, (rid, doc_id)
 
-    def merge(old, new):
+    def merge(old, new, content):
+        rid, doc_id = new
         if old is None:
-            return [new]
-        old.append(new)
+            return [rid, hashlib.sha256(content).hexdigest(), doc_id, rid, 1]
+        if _order(doc_id, rid) < _order(old[2], old[3]):
+            old[2], old[3] = doc_id, rid
+        old[4] += 1
         return old
 
+    def member(entry, new):
+        rid, doc_id = new
+        return 0, rid, doc_id, entry[0], entry[1], None, None, None, None, None
+
     def rows(batches):
-        for t in grace(records(batches), merge, budget):
-            for h, content, members in zip(t.hashes, t.contents, t.values):
-                rep, sha = members[0][0], hashlib.sha256(content).hexdigest()
-                best_rid, best_id = min(members, key=lambda m: _order(m[1], m[0]))
-                for rid, doc_id in members:
-                    yield 0, rid, doc_id, rep, sha, None, None, None, None, None
-                yield 1, None, None, rep, None, _signed(h), content, best_id, best_rid, len(members)
+        for t in grace(records(batches), merge, budget, member=member):
+            if isinstance(t, tuple):
+                yield t
+            else:
+                for h, content, (rep, _, best_id, best_rid, n) in zip(t.hashes, t.contents, t.values):
+                    yield 1, None, None, rep, None, _signed(h), content, best_id, best_rid, n
 
     return lambda batches: _batches(rows(batches), _LOCAL_ARROW)
 
@@ -192,7 +202,8 @@ def _global(budget: int):
             for h, content, *value in zip(*(b.column(c).to_pylist() for c in ("h", "content", "rep", "best_id", "best_rid", "n"))):
                 yield h & (1 << 64) - 1, content, value
 
-    def merge(old, new):
+    # An entry holds a row number for each input partition with that text: no more.
+    def merge(old, new, _):
         rep, best_id, best_rid, n = new
         if old is None:
             return [[rep], best_id, best_rid, n]
@@ -240,7 +251,7 @@ def _kept_rows(budget: int, names: list[str], id_at: int, text_at: int, schema:
     def key(row):
         return (row[id_at] is None, row[id_at] or 0, *((x is not None, str(x)) for x in row))
 
-    def merge(old, new):
+    def merge(old, new, _):
         return new if old is None or key(new) < key(old) else old
 
     def rows(batches):

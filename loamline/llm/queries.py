@@ -44,7 +44,7 @@ def op6_linear_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard.shard_documents(table(spark, sf_dir, "documents"), shard.even_tree(SHARDS), shard.even_tree(SHARDS + 1))
+    return shard.shard_documents(table(spark, sf_dir, "documents"), shard.even_forest(SHARDS), shard.even_forest(SHARDS + 1))
 
 
 def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

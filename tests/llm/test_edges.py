@@ -37,7 +37,7 @@ def operators(labels, benchmark):
     path = tokenizer("word_bpe_49k.json")
     return {
         "exact_groups": lambda d: exact.exact_groups(d), "near_groups": lambda d: simhash.near_groups(d), "pack": lambda d: pack.pack_documents(d, path), "quality": lambda d: quality.quality(d, labels),
-        "shard": lambda d: shard.shard_documents(d, shard.even_tree(4), shard.even_tree(5)), "toxicity": lambda d: toxicity.toxicity(d, labels), "pii": lambda d: pii.find_personal_data(d),
+        "shard": lambda d: shard.shard_documents(d, shard.even_forest(4), shard.even_forest(5)), "toxicity": lambda d: toxicity.toxicity(d, labels), "pii": lambda d: pii.find_personal_data(d),
         "tokens": lambda d: wordpiece.token_counts(d, [b" ", b"a", b"w", b"wo", b" word"]), "decontam": lambda d: decontam.contaminated(d, benchmark),
     }
 

@@ -79,7 +79,9 @@ def test_substituted_passage(spark):
 def test_ids_are_the_tokenizers(texts):
     path = queries.tokenizer("word_bpe_49k.json")
     encoder = ChunkEncoder(path)
-    odd = ["", "It's  a test’s é \n<|endoftext|>x <|end of|> 你好　ß", "a\x0bb\x1fc d 'S 12 3", "ÉCOLE, Éé. İx ǅ word... x² ½. ª º’ Ωσς ΑΣ. é. ́. ' '' s's ", "don't!! we've (it'll) \"no\"", "x" * 5000, "ſ K Å"]
+    odd = ["", "It's  a test’s é \n<|endoftext|>x <|end of|> 你好　ß", "a\x0bb\x1fc d 'S 12 3", "ÉCOLE, Éé. İx ǅ word... x² ½. ª º’ Ωσς ΑΣ. é. ́. ' '' s's ", "don't!! we've (it'll) \"no\"", "x" * 5000, "ſ K Å", "BELGESİ. İ, xİ! İ İ... aİ-b"]
+    rng = random.Random(12)
+    odd += ["".join(rng.choice("aİI .,'!x\u0307é") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
     every = odd + list(texts.values())
     want = encoder.tokenizer.encode_batch(every, add_special_tokens=False)
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.texts(every)] == [e.ids for e in want]
@@ -177,14 +179,26 @@ def test_index_finds_every_pair(spark, monkeypatch):
                 x ^= 1 << rng.randrange(64)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    raw = F.unhex(F.lpad(F.hex("id"), 16, "0"))
-    prints = spark.createDataFrame([(x,) for x in signed], "id long").select("id", raw.alias("index"), raw.alias("check"))
+    prints = spark.createDataFrame([(x,) for x in signed], "id long").select("id", F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"))
     found = {r.id: r.root for r in components.components(simhash.links(prints, simhash.quads_of_eight(), 5, 3)).collect()}
     want = _roots(dict(zip(signed, fps)), 3)
     group = lambda m: sorted(sorted(k for k in m if m[k] == r) for r in set(m.values()))
     assert group({s: found.get(s, s) for s in signed}) == group(want)
 
 
+def test_count_filter_rejects_chance_meetings():
+    """Fingerprints that share just the four bytes of a quad are rejected by the tally; their bits are never looked at. Without it they all would be."""
+    rng = np.random.default_rng(7)
+    raw = rng.integers(0, 256, (400, 8), np.uint8)
+    raw[:, :4] = 7
+    raw[200:, 4] = raw[:200, 4]  # these pairs share a fifth byte
+    check = np.ascontiguousarray(raw).view(np.uint64)
+    seen = {"tallied": 0, "verified": 0, "near": 0}
+    assert simhash.forest(np.arange(400), raw, check, np.zeros(400, int), 5, 3, seen) == []
+    pairs = sum((raw[a] == raw[b]).sum() >= 5 for a, b in itertools.combinations(range(400), 2))
+    assert seen["tallied"] == 400 * 399 // 2 and 200 <= seen["verified"] == pairs < 3000 and seen["near"] == 0
+
+
 def test_quads_hold_any_five():
     quads = simhash.quads_of_eight()
     assert len(quads) == 14 and all(any(set(q) <= set(c) for q in quads) for c in itertools.combinations(range(8), 5))
@@ -343,18 +357,42 @@ def test_token_counts():
 # ---------------------------------------------------------------- 7
 
 
-def _brute_shard(doc_id, n):
-    draws = []
-    for s in range(n):
-        h = xxhash.xxh64_intdigest((s).to_bytes(8, "little"), xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42))
-        draws.append((-np.log(((h >> 11) + 1) * 2.0**-53), s))
-    return min(draws)[1]
+def _hash(*what):
+    h = 42
+    for x in what:
+        h = xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), h)
+    return ((h >> 11) + 1) * 2.0**-53
+
+
+def _brute_place(key, forest, drawn=None):
+    """Step by step; drawn counts the draws."""
+    drawn = [] if drawn is None else drawn
+
+    def u(*what):
+        drawn.append(what)
+        return _hash(key, *what)
+
+    room = lambda x: sum(map(room, x)) if isinstance(x, list) else x.room
+    trees = [[[sorted(tree[r][k], key=lambda leaf: leaf.shard) for k in sorted(tree[r])] for r in sorted(tree)] for tree in forest]
+    for g in reversed(range(len(trees))):
+        for t in range(shard.ATTEMPTS):
+            if u(g, 0, t) > room(trees[g]) / sum(map(room, trees[: g + 1])):
+                break
+            at, path = trees[g], []
+            for level in (1, 2, 3):
+                path.append(min((-np.log(u(g, level, t, *path, j)) / room(child), j) for j, child in enumerate(at) if room(child) > 0)[1])
+                at = at[path[-1]]
+            if u(g, 4, t, at.shard) <= at.weight / at.room:
+                return at.shard
+    return min((-np.log(u(-1, leaf.shard)) / leaf.weight, leaf.shard) for tree in forest for r in tree.values() for k in r.values() for leaf in k if leaf.weight > 0)[1]
 
 
 def test_shards(spark, sf_dir, texts):
     rows = queries.op7_weighted_hash_tree(spark, sf_dir).toPandas()
+    now, grown = shard.even_forest(40), shard.even_forest(41)
     for r in rows.itertuples():
-        assert r.shard == _brute_shard(r.doc_id, 40) and r.grown_shard == _brute_shard(r.doc_id, 41)
+        assert r.shard == _brute_place(r.doc_id, now) and r.grown_shard == _brute_place(r.doc_id, grown)
+        assert r.region == f"region{r.shard % 4}" and r.rack == f"rack{r.shard // 4 % 5}"
         raw = texts[r.doc_id].encode()
         assert r.size == len(raw) + 16 and r.text_crc32 == zlib.crc32(raw)
     assert ((rows["shard"] == rows["grown_shard"]) | (rows["grown_shard"] == 40)).all()
@@ -364,20 +402,48 @@ def test_shards(spark, sf_dir, texts):
 
 def test_written_shards(spark, sf_dir, tmp_path):
     docs = table(spark, sf_dir, "documents")
-    shard.write_shards(docs, shard.even_tree(40), str(tmp_path / "shards"))
+    shard.write_shards(docs, shard.even_forest(40), str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
-    assert back.count() == docs.count() and all(r.loamline_shard == _brute_shard(r.doc_id, 40) for r in back.select("doc_id", "loamline_shard").collect())
+    assert back.count() == docs.count() and all(r.loamline_shard == _brute_place(r.doc_id, shard.even_forest(40)) for r in back.select("doc_id", "loamline_shard").collect())
+
+
+@pytest.mark.parametrize("n", [1, 19, 20, 39, 40, 41, 79, 80])
+def test_one_more_shard_takes_rows_only_into_itself(n):
+    now, grown = shard.even_forest(n), shard.even_forest(n + 1)
+    before, after = ([_brute_place(k, f) for k in range(1500)] for f in (now, grown))
+    assert all(a == b or b == n for a, b in zip(before, after)) and abs(sum(b == n for b in after) / 1500 - 1 / (n + 1)) < 0.04
+    assert set(before) <= set(range(n)) and max(abs(before.count(s) / 1500 - 1 / n) for s in range(n)) < 0.04
 
 
 def test_weights_move_only_their_subtree(spark):
     keys = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
-    tree = {"a": {"x": {0: 1.0, 1: 2.0}, "y": {2: 1.0}}, "b": {"z": {3: 4.0, 4: 0.0}}}
-    heavier = {"a": {"x": {0: 1.0, 1: 3.0}, "y": {2: 1.0}}, "b": {"z": {3: 4.0, 4: 0.0}}}
-    rows = shard.shard_documents(keys, tree, heavier).toPandas()
+    leaf = shard.Leaf
+
+    def forest(w1, w3):
+        return [{"a": {"x": [leaf(0, 1.0, 2.0), leaf(1, w1, 4.0)], "y": [leaf(2, 1.0)]}, "b": {"z": [leaf(3, w3, 4.0), leaf(4, 0.0)]}}]
+
+    rows = shard.shard_documents(keys, forest(2.0, 4.0), forest(3.0, 4.0)).toPandas()
     share = rows["shard"].value_counts(normalize=True)
     assert 4 not in share and all(abs(share[s] - w / 8) < 0.015 for s, w in {0: 1, 1: 2, 2: 1, 3: 4}.items())
     moved = rows[rows["shard"] != rows["grown_shard"]]
     assert len(moved) and (moved["grown_shard"] == 1).all()
+    # A weight that shrinks only lets keys go, and those that stay in other subtrees stay where they are.
+    rows = shard.shard_documents(keys, forest(2.0, 4.0), forest(2.0, 1.0)).toPandas()
+    moved = rows[rows["shard"] != rows["grown_shard"]]
+    assert len(moved) and (moved["shard"] == 3).all()
+
+
+def test_a_key_looks_only_into_the_subtrees_it_descends():
+    """A visit draws for its regions, its region's racks and its rack's shards: for 20 x 20 x 20 shards some 60 draws and not 8,000."""
+    even = [{f"r{a}": {f"k{b}": [shard.Leaf(400 * a + 20 * b + c) for c in range(20)] for b in range(20)} for a in range(20)}]
+    for key in range(200):
+        drawn: list = []
+        _brute_place(key, even, drawn)
+        assert len(drawn) == 1 + 60 + 1
+    # The levels decide: with the racks of one region told apart otherwise, only its own keys move.
+    other = [even[0] | {"r3": {f"k{b}": even[0]["r3"][f"k{19 - b}"] for b in range(20)}}]
+    before, after = ([_brute_place(k, f) for k in range(1000)] for f in (even, other))
+    assert any(a != b for a, b in zip(before, after)) and all(a == b for a, b in zip(before, after) if a // 400 != 3)
 
 
 # ---------------------------------------------------------------- 9
@@ -396,10 +462,27 @@ def test_hash_table_grows_and_compares_contents():
 
 def test_grace_recursion():
     records = [(xxhash.xxh64_intdigest(c), c, 1) for c in (f"text {i % 400}".encode() * 20 for i in range(2000))]
-    tables = list(exact.grace(iter(records), lambda old, new: (old or 0) + new, budget=2000))
+    tables = list(exact.grace(iter(records), lambda old, new, _: (old or 0) + new, budget=2000))
     assert len(tables) > 10 and {c: v for t in tables for c, v in zip(t.contents, t.values)} == {c: 5 for _, c, _ in records}
 
 
+def test_a_hot_text_is_held_once():
+    """A million equal rows: the table's entry doesn't grow with them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        for k in range(0, 1_000_000, 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(range(k, k + 10_000), pa.int64()), pa.array(range(k, k + 10_000), pa.int64()), pa.array([b"the same"] * 10_000, pa.binary())], names=["rid", "doc_id", "raw"])
+
+    tracemalloc.start()
+    n = sum(b.num_rows for b in exact._local(exact.TABLE_BYTES)(batches()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_000_001 and most < 20 << 20
+
+
 # ---------------------------------------------------------------- 10
 
 _BASE = [re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
