@@ -73,6 +73,29 @@ def test_substituted_passage(spark):
     assert {r.doc_id for r in got.collect()} == {1, 2, 3, 6}
 
 
+def test_partial_and_short_quotes(spark):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    item, short, tiny = rng.sample(words, 60), [f"s{i}" for i in range(6)], ["t0", "t1"]
+    some = lambda n: rng.sample(words, n)
+    docs = [(1, some(80) + item[20:33] + some(80)), (2, some(80) + item[20:29] + some(80)), (3, some(20) + short + some(20)), (4, some(20) + short[:5]), (5, some(5) + tiny + some(5)), (6, tiny), (7, some(40))]
+    got = decontam.contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item)), (8, " ".join(short)), (9, " ".join(tiny)), (10, " !? ")], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.matched, r.compared) for r in got.collect()} == {(1, 7, 13, 13), (3, 8, 6, 6), (6, 9, 2, 2)}
+
+
+def test_large_benchmarks_are_exchanged(spark, sf_dir, monkeypatch):
+    """The same rows by exchange as by broadcast, and no text goes through the exchange by seed."""
+    want = sorted(map(tuple, queries.op2_spaced_seed_decontamination(spark, sf_dir).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    got = queries.op2_spaced_seed_decontamination(spark, sf_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want and want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_seed = [x.split("hashpartitioning(seed")[0] for x in plan.split("\n") if "hashpartitioning(seed" in x]
+    assert len(by_seed) == 2 and "hashpartitioning(row" in plan and "Broadcast" not in plan
+
+
 # ---------------------------------------------------------------- 3
 
 
