@@ -46,18 +46,54 @@ def test_extraction(spark, sf_dir):
 
 
 def test_extraction_of_other_pages():
-    tree = html.grow(html.labelled())
+    tree = html.decision_tree()
     body = "A long enough paragraph that tells the story of the day, with a comma and a good many words to be read by all."
     page = f"""<html><head><title>No</title><script>if (a<b) "<p>no</p>"</script></head><body class="home">
       <header><h1>Site name</h1></header><div id="menu-main"><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div>
       <div class="cookie-notice">We use cookies to make this site work, and for nothing else at all, as we say here at length for once.</div>
-      <article class="post"><header class="entry-header"><h1>Title &amp; more</h1></header><p>{body}<p>Short.</p><p>See <a href=z>this</a> one, too.</p><div class="topbar">Read this as well, and this, and then some of that</div><aside>Beside the point, in some more words than one would think</aside>
+      <article class="post"><header class="entry-header"><h1>Title &amp; more</h1></header><p>{body}<p>Short.</p><p>See <a href=z>this</a> one, too.</p><div class="topbar">Read this as well, and this, and then some of that</div><aside>Beside the point, in some
       <form><p>Name: <input name=n> and tell us what you think about it in your own words</p></form></article>
       <section id="comments"><h3>Comments</h3><p>{body}</p></section><div class="sidebar"><p>{body}</p></div><footer><p>{body}</p></footer>
       <div style="display: none"><p>{body}</p></div><!-- <p>{body}</p> --></body></html>"""
     assert html.main_text(page, tree)[0] == f"Title & more\n{body}\nShort.\nSee this one, too."
     plain = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div>{body}</div><div>{body}<br>{body}</div><div><a href=3>About</a></div></body>"
     assert html.main_text(plain, tree)[0] == f"{body}\n{body} {body}"
+    # Names that merely contain such a word, names in other languages, a comment that is an article, a notice in the article's header.
+    page = f"""<main><article><header><h1>Title</h1><div class="notice">{body}</div></header><p class="share-price">{body}</p><p id="search-for-life">{body}</p><div class="alert-level">{body}</div>
+      <article><p>{body}</p></article></article></main><div class="seitenleiste"><p>{body}</p></div><section class="kommentare"><p>{body}</p><p>{body}</p></section>"""
+    assert html.main_text(page, tree)[0] == f"Title\n{body}\n{body}\n{body}"
+
+
+def test_counts_and_densities_decide(spark):
+    """Without a word of what tags say, a tree of counts and densities alone finds nine pages of ten."""
+    tree, pages = html.grow(html.labelled()), table(spark, "/root/testdata/sf0.01", "pages").collect()
+    same = 0
+    for p in pages:
+        found = html.blocks(p.html)
+        own = [(float(b.words), b.link_words / b.words) for b in found]
+        padded = [(0.0, 0.0), *own, (0.0, 0.0)]
+        kept = [html.keep(tree, [*own[i], *padded[i], *padded[i + 2], float(b.heading), float(b.item)]) for i, b in enumerate(found)]
+        same += kept == [b.article == 1 for b in found]
+    assert same >= 0.9 * len(pages)
+    # The tree's upper nodes ask for nothing else, either.
+    def above(t, depth):
+        return [] if isinstance(t, int) or not depth else [t[0], *above(t[2], depth - 1), *above(t[3], depth - 1)]
+
+    assert set(above(html.decision_tree(), 2)) <= set(range(6))
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "x</p>", "<p>x</b></div>", "<li><a href='x'>x", '<p class="', "<!--", "<script>x", "<h1>x<p>"])
+def test_very_long_and_deep_pages_take_linear_time(unit):
+    import time
+
+    def took(n):
+        began = time.thread_time()
+        html.main_text(unit * (n // len(unit)), tree)
+        return time.thread_time() - began
+
+    tree = html.decision_tree()
+    took(20_000)
+    assert took(1_000_000) < 12 * max(took(200_000), 0.05)
 
 
 # ---------------------------------------------------------------- 2
