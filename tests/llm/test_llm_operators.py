@@ -569,13 +569,72 @@ def test_base_spans(spark, sf_dir, texts):
 
 
 def test_contexts_teach_identifiers(spark):
-    docs = [(i, f"please call me at +1 (555) 555-{1000 + i} today") for i in range(12)] + [(50, "please call me at 555-867-5309 today"), (51, "order number 555-867-5309 again"), (52, "the parts 12345-6789-00 are here"), (53, "mail joe at nothing")]
+    docs = [(i, f"please call me at +1 (555) 555-{1000 + i} today") for i in range(12)] + [(50, "please call me at 555-867-5309 today"), (51, "order number 555-867-5309 again"), (52, "the parts 12345-6789-00 are here"), (53, "mail joe at nothing"), (54, "please call me at (555) 867 5310 today")]
+    # Issued formats are seeds, and teach a context in which other strings are secrets; in other contexts they are none.
+    docs += [(100 + i, f'the token = "{hashlib.sha1(str(i).encode()).hexdigest()}" is mine') for i in range(8)] + [(120, 'the token = "Zx9_kk21-pqr77" is mine'), (121, f"some {'0' * 20}{'ab1' * 4}{'c' * 8} words"), (122, "model Zx9_kk21-pqr77 too"), (123, "model Ay8_kk21-pqr77 too")]
     got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got[50].spans == "phone:18:30" and got[50].n_phone == 0 and got[50].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert got[51].spans == "phone:13:25" and got[52].spans == "" and got[53].spans == ""
-    assert got[0].spans == "phone:18:35" and got[0].n_phone == 1
+    assert got[50].spans == "phone:18:30" and got[50].n_phone == 0 and got[50].base_sha256 == hashlib.sha256(b"").hexdigest() and got[50].n_learnt == got[50].n_spans == 1
+    assert got[51].spans == "phone:13:25" and got[52].spans == "" and got[53].spans == "" and got[54].spans == "phone:18:32"
+    assert got[0].spans == "phone:18:35" and got[0].n_phone == 1 and got[0].n_learnt == 0
+    assert all(got[100 + i].spans == "secret:13:53" for i in range(8)) and got[120].spans == "secret:13:27" and got[122].spans == "secret:6:20" and got[121].spans == got[123].spans == ""
     rows = pii.span_rows(spark.createDataFrame([(1, "email:0:5,phone:7:20"), (2, "")], "doc_id long, spans string")).collect()
     assert [tuple(r) for r in rows] == [(1, "email", 0, 5), (1, "phone", 7, 20)]
+    assert pii.span_rows(spark.createDataFrame([], "doc_id long, spans string")).count() == 0
+
+
+def test_learning_on_a_small_graph(spark):
+    """Against the rule spelled out over dictionaries."""
+    import math
+    from collections import Counter, defaultdict
+
+    rng = random.Random(14)
+    spans = []
+    for k in range(600):
+        ident = f"i{rng.randrange(150)}"
+        seed = int(ident[1:]) % 7
+        kind, sure = (seed, True) if seed < 4 else (4, False) if seed == 4 else (None, False)
+        kinds = 1 << kind if sure else 31 if int(ident[1:]) % 2 else 24
+        lean = int(ident[1:]) // 7 % 5 if not sure else seed
+        spans.append((ident, kind, sure, kinds, [f"p{lean * 4 + rng.randrange(4) if rng.random() < 0.93 else rng.randrange(20)}" for _ in range(rng.randint(0, 2))]))
+    edges = defaultdict(int)
+    for ident, _, _, kinds, patterns in spans:
+        for p in patterns:
+            edges[p, ident] |= kinds
+    linked = {i for _, i in edges}
+    kind = {i: k for i, k, _, _, _ in spans if k is not None and i in linked}
+    settled = {i for i, _, sure, _, _ in spans if sure and i in linked}
+    want = {}
+    for _ in range(pii.ROUNDS):
+        n, whole = Counter((p, kind.get(i)) for p, i in edges), Counter()
+        for (p, k), c in n.items():
+            whole[p] += c * (pii.DOUBT if k is None else 1)
+        good = {(p, k): c / whole[p] for (p, k), c in n.items() if k is not None and c >= pii.SUPPORT and c / whole[p] >= pii.CONFIDENCE}
+        miss = defaultdict(float)
+        for (p, i), bits in edges.items():
+            if i not in settled:
+                for (q, k), c in good.items():
+                    if q == p and bits >> k & 1:
+                        miss[i, k] += math.log(1 - min(c, 0.99))
+        best = {}
+        for (i, k), m in miss.items():
+            if 1 - math.exp(m) >= pii.SCORE:
+                best[i] = max(best.get(i, (0, 0)), (round(1 - math.exp(m), 12), -k))
+        new = {i: -b[1] for i, b in best.items()}
+        want |= new
+        kind |= new
+        settled |= set(new)
+        if not new:
+            break
+    got = {r.identifier: r.kind for r in pii.learn(spark.createDataFrame(spans, "identifier string, kind int, sure boolean, kinds int, contexts array<string>")).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_secrets_are_learnt_from_the_tables(spark):
+    """At sf0.01 tokens stand in one context and are learnt; numbers in random contexts are not."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    learnt = {(r.doc_id, texts[r.doc_id][r.start : r.end]) for r in pii.span_rows(queries.op10_bootstrapped_pii(spark, sf)).collect() if r.kind == "secret"}
+    assert learnt == {(d, m[1]) for d, t in texts.items() for m in re.finditer('token = "([0-9a-f]{40})"', t or "")} and len(learnt) > 5
 
 
 # ---------------------------------------------------------------- the pipeline
