@@ -140,7 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: C
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids, doc_ids, lengths): the packed sequences themselves, from pack_documents() with its ids."""
+    """(sequence_id, ids, doc_ids, lengths): the packed sequences themselves, from pack_documents() with its ids. Null and repeated doc_ids are told apart by their places; an empty table gives no sequences."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id", "length")))  # of one sequence
     out = packed.groupBy("sequence_id").agg(parts.alias("parts"))
     return out.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"), F.transform("parts", lambda p: p["length"]).alias("lengths"))

@@ -125,9 +125,12 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_r
     Learns from at most sample_rows rows of labels (doc_id, quality) that are
     not held out; inputs of a score are the text and n_chars. Null texts count
     as empty, and an empty text has its statistics alone; a null n_chars is a
-    value of its own. Repeated rows get equal scores; an empty table gives no
-    rows. Other columns are ignored.
+    value of its own, and a table without that column has nulls there. Repeated
+    rows get equal scores; an empty table gives no rows. Other columns are
+    ignored.
     """
+    if "n_chars" not in docs.columns:
+        docs = docs.withColumn("n_chars", F.lit(None).cast("long"))
     fitted = fit(sample(docs, labels, "quality", sample_rows, ("n_chars",)))
     # Plain arrays of fixed size, (BUCKETS + bins) x (RANK + 1) numbers: executors need no class of ours to read them.
     model = docs.sparkSession.sparkContext.broadcast((fitted.edges, fitted.bias, fitted.w, fitted.v))

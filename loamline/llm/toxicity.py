@@ -44,6 +44,8 @@ SEGMENT, PIECE = 50, 8
 CARRIER = hashlib.sha512(b"carrier").digest()
 #: Thresholds: the least difference that at most this share of the ordinary windows reaches, out of fold.
 RARE = (1e-2, 1e-3, 1e-4)
+#: The regression's ridge penalty; the score at which a text counts as toxic, and the share of ordinary texts that may reach it out of fold.
+RIDGE, DECIDED, ORDINARY = 10.0, 0.7, 0.002
 #: Windows whose difference a task remembers before it starts anew.
 MEMORY = 250_000
 
@@ -210,7 +212,13 @@ def fit(rows: list[tuple[str, int]], folds: int = 3) -> ToxicityModel:
             found[i] = difference(texts[i][0].split())
     usual = np.sort(np.concatenate([d for d, toxic in zip(found, y) if not toxic]))
     thresholds = tuple(float(usual[-1 - int(share * len(usual))]) + 1 for share in RARE)
-    return ToxicityModel(train_dictionaries(texts, _sum(parts)), Logistic(np.array([features(d, thresholds) for d in found]), y), thresholds)
+    x = np.array([features(d, thresholds) for d in found])
+    logistic = Logistic(x, y, ridge=RIDGE)
+    # The decision's own threshold: where few ordinary texts come near it, scores are raised until just so many do. Of too few texts the rarest says nothing.
+    p = np.sort(np.log(1 / logistic(x[y == 0]) - 1))
+    if ORDINARY * len(p) > 0.2:
+        logistic.w[-1] += max(0.0, p[int(ORDINARY * len(p))] - np.log(1 / DECIDED - 1))
+    return ToxicityModel(train_dictionaries(texts, _sum(parts)), logistic, thresholds)
 
 
 def _scored(model: ToxicityModel):
