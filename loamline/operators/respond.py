@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ def canonical_request(raw: DataFrame) -> DataFrame:
     trim = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
     out = raw.withColumn("language", F.lower(trim(F.col("language")))).withColumn("channel", F.lower(trim(F.col("channel"))))
     out = out.withColumn("query", trim(F.coalesce(F.nullif("query", F.lit("")), F.col("question")))).withColumn("asr_confidence", F.when(F.col("channel") == "voice", F.expr("try_cast(asr_confidence AS double)")))
+    # Numbers that can't be read count as not given.
+    for k in ("top_k", "raw_k"):
+        if k in raw.columns:
+            out = out.withColumn(k, F.expr(f"try_cast({k} AS int)"))
     return out.withColumn("error", p.request_error(F.col("language"), F.col("channel"), F.col("query"), F.col("asr_confidence")))
 
 
@@ -40,6 +45,25 @@ def echo(prompt_text: Column) -> Column:
     return F.concat(F.substring(F.regexp_extract(prompt_text, r"\n1\. ([^\n]*)", 1), 1, 80), F.lit(" [n]."))
 
 
+def guarded(generate: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A model from a Python function of one prompt. Where it fails, twice, that request alone is refused."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def once(text):
+            for _ in range(2):
+                try:
+                    return generate(text)
+                except Exception:  # noqa: BLE001  whatever a model's client raises
+                    continue
+            return None
+
+        for prompts in batches:
+            yield prompts.map(once, na_action="ignore").astype(object)
+
+    return run
+
+
 def answer(raw: DataFrame, chunks: DataFrame, generate: Callable[[Column], Column] = echo, strict: bool = False, raw_k: int = RAW_K, final_k: int = FINAL_K, compose: bool = True) -> DataFrame:
     """A response per request: request_id, resolution, guidance_key, answer_lines, citations, sources, confidence, citation_missing, top_similarity, used_chunk_ids.
 
@@ -48,7 +72,7 @@ def answer(raw: DataFrame, chunks: DataFrame, generate: Callable[[Column], Colum
     """
     asked = gate(canonical_request(raw))
     open_ = asked.where("guidance_key is null")
-    found = passages(retrieve(open_.select("request_id", "embedding"), chunks, raw_k, final_k, compose=compose))
+    found = passages(retrieve(open_.select("request_id", "embedding", *(c for c in ("filters", "top_k", "raw_k") if c in raw.columns)), chunks, raw_k, final_k, compose=compose))
     out = asked.join(found, "request_id", "left")
     out = out.withColumn("prompt", F.when(F.col("enough"), prompt(F.col("language"), F.col("query"), F.col("passages"))))
     out = out.withColumn("generated", F.when(F.col("prompt").isNotNull(), generate(F.col("prompt")))).withColumn("most", F.array_max(F.transform("passages", lambda x: x["number"])))
@@ -56,7 +80,7 @@ def answer(raw: DataFrame, chunks: DataFrame, generate: Callable[[Column], Colum
     resolution = (
         F.when(F.col("guidance_key").isNotNull(), "refusal")
         .when(~F.coalesce("enough", F.lit(False)), "not_enough_info")
-        .when(F.col("generated").isNull(), "refusal")
+        .when(F.col("generated").isNull(), "refusal")  # the model failed
         .when(F.col("decision") == "NOT_ENOUGH_INFORMATION", "not_enough_info")
         .when((F.col("decision") != "ACCEPT") & F.lit(strict), "invalid_output")
         .otherwise("answer")
@@ -89,9 +113,15 @@ def sms(responses: DataFrame) -> DataFrame:
     return responses.select("request_id", F.when(answered, said).otherwise(refused).alias("message"), F.when(~answered, F.coalesce("guidance_key", "resolution")).alias("reason"))
 
 
-def web(responses: DataFrame) -> DataFrame:
+def web(responses: DataFrame, *more: str) -> DataFrame:
     """Responses with citations cut down to their sources."""
-    return responses.select("request_id", "resolution", "guidance_key", "answer_lines", F.transform("citations", lambda c: c["source_url"]).alias("citation_urls"))
+    return responses.select("request_id", "resolution", "guidance_key", "answer_lines", F.transform("citations", lambda c: c["source_url"]).alias("citation_urls"), *more)
+
+
+def voice(responses: DataFrame) -> DataFrame:
+    """As web(), with what was heard: the query of an answered voice request."""
+    heard = F.when((F.col("resolution") == "answer") & (F.col("channel") == "voice"), F.col("query"))
+    return web(responses.withColumn("transcript", heard), "transcript")
 
 
 def audit(records: DataFrame, at: Column) -> DataFrame:

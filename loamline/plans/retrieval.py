@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamline.operators import answers, chunking, respond, retrieve
+from loamline.operators import answers, chunking, payload, respond, retrieve
 from loamline.plans.scalars import table
 
 QUERIES: dict = {}
@@ -22,24 +22,24 @@ def query(sql: str | None = None):
 
 
 _CHUNKS_SQL = """
-    c AS (SELECT vec_id::VARCHAR AS chunk_id, embedding::DOUBLE[] AS e, text, label, CASE label % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.8 WHEN 3 THEN 0.6 WHEN 4 THEN 1.0 ELSE 0.95 END::DOUBLE AS w,
-          's3://store/' || source || '/' || vec_id AS url FROM embeddings JOIN documents ON doc_id = vec_id),
-    r AS (SELECT vec_id::VARCHAR AS request_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 50 = 0)
+    c AS (SELECT vec_id::VARCHAR AS chunk_id, embedding::DOUBLE[] AS e, coalesce(text, '') AS text, label, CASE label % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.8 WHEN 3 THEN 0.6 WHEN 4 THEN 1.0 ELSE 0.95 END::DOUBLE AS w,
+          's3://store/' || coalesce(source, 'none') || '/' || vec_id AS url FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+    r AS (SELECT vec_id::VARCHAR AS request_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 20 = 0)
 """
 
 
 def chunks(spark, d):
-    """The test tables as a vector table: a document per vector, its label as the trust level."""
+    """The test tables as a vector table: every vector, with the document of its number if there is one, its label as the trust level."""
     e, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
     k = F.col("label") % 6
     level = F.when(k == 0, "gov").when(k == 1, "implementing_agency").when(k == 2, "NGO").when(k == 3, "news").when(k == 4, "other")
     meta = F.to_json(F.struct(level.alias("trust_level"), F.when(k == 5, "agency").alias("trust"), F.col("label").cast("string").alias("label")))
-    both = e.join(docs, e["vec_id"] == docs["doc_id"])
-    return both.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "text", meta.alias("meta"), F.concat(F.lit("s3://store/"), "source", F.lit("/"), F.col("vec_id").cast("string")).alias("source_url"))
+    both = e.join(docs, e["vec_id"] == docs["doc_id"], "left")
+    return both.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "text", meta.alias("meta"), F.concat(F.lit("s3://store/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("vec_id").cast("string")).alias("source_url"))
 
 
 def requests(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id % 50 = 0")
+    e = table(spark, d, "embeddings").where("vec_id % 20 = 0")
     return e.select(F.col("vec_id").cast("string").alias("request_id"), "embedding", F.col("vec_id").cast("string").alias("chunk_id"), "label")
 
 
@@ -114,6 +114,21 @@ def u1_w7_chunk_windows(spark, d):
     return out.select("document_id", "chunk_id", F.md5("text").alias("text_md5"), F.col("token_count").cast("long").alias("token_count"), F.col("token_start").cast("long").alias("token_start"), F.col("token_end").cast("long").alias("token_end"), "semantic_region")
 
 
+@query(_WINDOW_SQL + """
+    SELECT doc_id::VARCHAR AS document_id, doc_id || '_c' || printf('%04d', window_index) AS chunk_id, md5(text) AS text_md5, token_count::VARCHAR AS token_count, '[' || token_start || ',' || token_end || ']' AS token_range, total::VARCHAR AS document_total_tokens,
+           CASE WHEN doc_id % 2 = 0 THEN 'http://o' WHEN doc_id % 3 = 0 THEN 'http://s' END AS source_url, CASE WHEN lang = source THEN '["' || lang || '"]' ELSE '["' || lang || '","' || source || '"]' END AS headings,
+           CASE WHEN doc_id % 2 = 0 THEN '{"raw_sha256":"' || doc_id || '","raw_key":"' || doc_id || '","original_url":"http://o"}' ELSE '{"raw_sha256":"' || doc_id || '","raw_key":"' || doc_id || '"}' END AS provenance, NOT (doc_id % 2 = 0 OR doc_id % 3 = 0) AS lacks_source
+    FROM c JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)
+""")
+def p10_p13_p14_chunk_payload(spark, d):
+    docs = table(spark, d, "documents")
+    original, source = F.when(F.col("doc_id") % 2 == 0, "http://o"), F.when(F.col("doc_id") % 3 == 0, "http://s")
+    about = docs.select(F.col("doc_id").cast("string").alias("document_id"), payload.source_url(original, source, F.lit(None).cast("string")).alias("source_url"), original.alias("original_url"), F.col("lang").alias("title"), F.col("source").alias("parsed_title"), F.lit(None).cast("string").alias("file_type"), F.col("doc_id").cast("string").alias("raw_key"))
+    lines = payload.html_payload(chunking.html_chunks(docs, "doc_id", "text").join(about, "document_id"), "v1", F.lit("2024-01-01T00:00:00.000Z"))
+    get = lambda k: F.get_json_object("value", f"$.{k}").alias(k)
+    return lines.select("document_id", get("chunk_id"), F.md5(F.get_json_object("value", "$.text")).alias("text_md5"), get("token_count"), get("token_range"), get("document_total_tokens"), get("source_url"), get("headings"), get("provenance"), (~F.col("value").contains('"source_url"')).alias("lacks_source"))
+
+
 _PAGE_WINDOW_SQL = _WINDOW_SQL.replace("FROM documents", "FROM (SELECT conv_id || '/' || (turn + 1) AS doc_id, text FROM conversations)")
 
 
@@ -217,10 +232,19 @@ def q2_q3_handle(spark, d):
     return out.select("request_id", "resolution", "guidance_key", F.round("top_similarity", 6).alias("top_similarity"), F.array_join("answer_lines", "\n").alias("answer"), F.array_join("sources", " ").alias("sources"), "confidence", "citation_missing", F.array_join("used_chunk_ids", " ").alias("used_chunk_ids"))
 
 
-@query(_RESPONSES_SQL + "SELECT request_id, resolution, g AS guidance_key, answer, CASE WHEN resolution = 'answer' AND accepted THEN urls END AS citation_urls FROM y")
+@query(_RESPONSES_SQL + """
+    SELECT y.request_id, resolution, g AS guidance_key, answer, CASE WHEN resolution = 'answer' AND accepted THEN urls END AS citation_urls,
+           CASE WHEN resolution = 'answer' AND k = 5 THEN trim(text, ' ' || chr(10) || chr(9)) END AS transcript FROM y JOIN t ON y.request_id = t.conv_id || '-' || t.turn
+""")
 def p7_p9_web_voice(spark, d):
-    out = respond.web(_responses(spark, d))
-    return out.select("request_id", "resolution", "guidance_key", F.array_join("answer_lines", "\n").alias("answer"), F.array_join("citation_urls", " ").alias("citation_urls"))
+    out = respond.voice(_responses(spark, d))
+    return out.select("request_id", "resolution", "guidance_key", F.array_join("answer_lines", "\n").alias("answer"), F.array_join("citation_urls", " ").alias("citation_urls"), "transcript")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' WHEN doc_id % 3 = 0 THEN 'hi' ELSE 'en' END AS language FROM documents")
+def p7_web_language(spark, d):
+    asked = F.when(F.col("lang") == "en", " EN ").when(F.col("doc_id") % 3 == 0, "Hi").when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", respond.web_language(asked).alias("language"))
 
 
 @query(_RESPONSES_SQL + """
