@@ -16,7 +16,7 @@ TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid")
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition; there is no built-in, so this is an Arrow UDF. Use fold() where texts are mostly ASCII."""
+    """Unicode compatibility composition; there is no built-in, so this is an Arrow UDF. ASCII texts pass as they are."""
 
     @F.pandas_udf("string")
     def composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -142,3 +142,24 @@ def source_label(url: Column) -> Column:
 
 def padded(n: Column) -> Column:
     return F.format_string("%04d", n)
+
+
+def safe_rel(path: Column) -> Column:
+    """A relative path: slashes only, none in front."""
+    return F.regexp_replace(F.regexp_replace(path, r"\\\\", "/"), "^/+", "")
+
+
+def remote_path(bucket: Column, prefix: Column, rel: Column) -> Column:
+    inner = F.regexp_replace(prefix, "^/+|/+$", "")
+    return F.concat_ws("/", bucket, F.nullif(inner, F.lit("")), safe_rel(rel))
+
+
+def token_count(text: Column) -> Column:
+    """Words of a text between white space (Unicode)."""
+    return F.size(F.filter(F.split(squeeze(text), " "), lambda w: w != ""))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8, or else Latin-1."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))

@@ -7,11 +7,12 @@ one check over the lines: every number in range and nothing forbidden.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.predicates import FORBIDDEN
 
+# How a line says its citation.
 _PLACEHOLDER = r"(?i)\[n\][.!?]?$"
 _EXPLICIT = r"\[(\d+)\][.!?]*$"
 _NUMBER = r"\b(\d{1,3})\b"
@@ -81,3 +82,8 @@ def validated(df, text_col: str, most_col: str):
     df = df.withColumn("mode", mode(F.col("lines")))
     df = df.withColumn("cited", cited_lines(F.col("lines"), F.col("mode"), F.coalesce(F.col(most_col), F.lit(0))))
     return df.withColumn("decision", decision(F.col("lines"), F.col("mode"), F.col("cited"), F.col(most_col)))
+
+
+def running_citations(rows: DataFrame, answer: str, order: str, cites: Column) -> DataFrame:
+    """rows with `citation`: how many lines of the answer cite, up to this one."""
+    return rows.withColumn("citation", F.count_if(cites).over(Window.partitionBy(answer).orderBy(order)))

@@ -110,4 +110,19 @@ def pdf_chunks(pages: DataFrame, how: Windows = Windows(compose=False)) -> DataF
     out = out.withColumn("before", F.coalesce(F.sum("token_count").over(order), F.lit(0)))
     out = out.withColumn("document_total_tokens", F.sum(F.when(F.col("chunk_number") == 0, F.col("document_total_tokens"))).over(whole)).withColumn("last_page", F.max("page_number").over(whole))
     region = pdf_region(F.col("before"), F.col("token_count"), F.col("document_total_tokens"), F.col("page_number"), F.col("last_page"))
-    return out.select("document_id", "page_number", F.format_string("%s_p%d_%04d", "document_id", "page_number", "chunk_number").alias("chunk_id"), "text", "token_count", "document_total_tokens", region.alias("semantic_region"))
+    return out.select("document_id", "page_number", F.format_string("%s_p%d_%04d", "document_id", "page_number", "chunk_number").alias("chunk_id"), "chunk_number", "text", "token_count", "token_start", "token_end", "document_total_tokens", region.alias("semantic_region"))
+
+
+def sentence_offsets(rows: DataFrame, document: str, place: str, length: str) -> DataFrame:
+    """rows with token_start: the tokens of the sentences before, in their document."""
+    from pyspark.sql import Window as W
+
+    before = W.partitionBy(document).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("token_start", F.coalesce(F.sum(length).over(before), F.lit(0)))
+
+
+def joined_texts(parts: DataFrame, document: str, place: str, text: str = "text", by: str = "\n") -> DataFrame:
+    """(document, text, parts): the texts of each document's parts in order."""
+    held = F.array_sort(F.collect_list(F.struct(place, text)))  # of one document
+    out = parts.groupBy(document).agg(held.alias("held"))
+    return out.select(document, F.array_join(F.transform("held", lambda x: x[text]), by).alias("text"), F.size("held").cast("long").alias("parts"))

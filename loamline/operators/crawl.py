@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import predicates as p
 from loamline.functions.scalar import canonical_url
 from loamline.functions.session import checkpoint_dir
 
-_DOCUMENT_URL = re.compile(r"""["']([^"']+\.(?:pdf|docx?|xlsx?|csv|zip))(?:\?[^"']*)?["']""", re.I)
-_API_URL = re.compile(r"""["']([^"']+\.json)(?:\?[^"']*)?["']""", re.I)
+# Quoted addresses of documents and of data, by how they begin, their length and their ending.
+_DOCUMENT_URL = re.compile(r"""["']((?:/|https?://)[^"'\s]{6,400}\.(?:pdf|PDF|doc|docx|xls|xlsx|csv|zip))["']""")
+_API_URL = re.compile(r"""["']((?:/|https?://)[^"'\s]{10,300}\.json(?:\?[^\s"']*)?)["']""", re.I)
 MAX_LINKS, MAX_DEPTH = 400, 2
 
 
 class _Reader(HTMLParser):
     """Links with their texts, and the words a reader sees."""
 
+    # Elements whose text is not read.
     SILENT = ("script", "style", "noscript", "iframe")
 
     def __init__(self) -> None:
@@ -40,6 +42,10 @@ class _Reader(HTMLParser):
             if attrs.get("href"):
                 self.open = [attrs["href"], []]
                 self.links.append(self.open)
+        elif tag in ("area", "link"):
+            attrs = dict(attrs)
+            if where := attrs.get("href") or attrs.get("src"):
+                self.links.append([where, []])
 
     def handle_endtag(self, tag):
         if tag in self.SILENT:
@@ -106,6 +112,46 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> Dat
         seen, frontier = seen.union(new), new
 
 
+def crawl_pages(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], allowed: tuple[str, ...] = (), max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(url, depth, sha256) of pages fetched from seeds (url) on: fetch, read, follow, one depth a step.
+
+    fetch: from (url, prioritized), documents first, to (url, html) of those that
+    could be fetched. Each canonical address is fetched once; of equal contents
+    the first by depth and address counts. Beyond max_depth only prioritized
+    links are followed. A step's rows are checkpointed.
+    """
+    spark = seeds.sparkSession
+    checkpoint_dir(spark)
+    frontier = seeds.select(canonical_url(F.col("url")).alias("url")).where(p.allowed_domain(F.col("url"), allowed)).distinct().withColumn("prioritized", F.lit(True))
+    seen = frontier.select("url").checkpoint()
+    out = None
+    depth = 0
+    while True:
+        pages = fetch(frontier.orderBy(F.desc("prioritized"), "url")).withColumn("page_id", F.xxhash64("url")).checkpoint()
+        got = pages.select("url", F.lit(depth).alias("depth"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha256"))
+        out = got if out is None else out.union(got)
+        found = candidates(pages.select("page_id", "url", "html"), allowed).select(canonical_url(F.col("url")).alias("url"), "prioritized")
+        found = found.where(p.allowed_domain(F.col("url"), allowed)).groupBy("url").agg(F.max("prioritized").alias("prioritized"))
+        depth += 1
+        if depth > max_depth:
+            found = found.where("prioritized")
+        frontier = found.join(seen, "url", "left_anti").checkpoint()
+        if frontier.isEmpty():
+            order = Window.partitionBy("sha256").orderBy("depth", "url")
+            return out.withColumn("copy", F.row_number().over(order)).where("copy = 1").drop("copy")
+        seen = seen.union(frontier.select("url"))
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """One row: how many canonical addresses and how many contents pages (url, html) have."""
+    return pages.agg(F.count_distinct(canonical_url(F.col("url"))).alias("urls"), F.count_distinct(F.sha2("html", 256)).alias("contents"))
+
+
+def status_counts(fetches: DataFrame, status: str = "status") -> DataFrame:
+    """Rows per status."""
+    return fetches.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
 def robots_allow(urls: DataFrame, robots: DataFrame, agent: str, default_delay: float = 1.0) -> DataFrame:
     """urls with allowed and crawl_delay, by the robots file of their origin. robots: origin, status, body; without one, or with a status other than 200, all is allowed. Each task parses a file once."""
     from urllib.robotparser import RobotFileParser

@@ -80,6 +80,19 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("fault").isNull()).alias("indexed"), F.count_if(F.col("fault").isNotNull()).alias("skipped"), F.count_if(F.col("fault") == "missing_field").alias("skipped_schema"))
 
 
+def document_totals(chunks: DataFrame, document: str, tokens: str, number: str) -> DataFrame:
+    """(document, document_total_tokens, chunk_count, last_number) of chunks or pages."""
+    return chunks.groupBy(document).agg(F.sum(tokens).alias("document_total_tokens"), F.count(F.lit(1)).alias("chunk_count"), F.max(number).alias("last_number"))
+
+
+def index_lines(lines: DataFrame, path: str, embed: Callable[[Column], Column] | None = None) -> dict[str, int]:
+    """Chunk lines (value) into the table at path: what was indexed and what was skipped, and the exit code of a job that does so (50 if any line lacked a required field)."""
+    rows = normalise(lines)
+    counts = totals(rows).first()
+    attempted = append_unseen(rows, path, embed)
+    return {"seen": counts["seen"], "indexed": attempted, "skipped": counts["skipped"], "skipped_schema": counts["skipped_schema"], "exit_code": 50 if counts["skipped_schema"] else 0}
+
+
 def ensure_table(spark: SparkSession, name: str) -> None:
     """The vector table in the catalog, if it isn't there yet. Parquet has no indexes: ids and sources prune by their statistics."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({TABLE}) USING parquet")

@@ -22,16 +22,22 @@ def outside_figures(blocks: DataFrame, figures: DataFrame) -> DataFrame:
     return a.join(b, same & (width * height / area > OVERLAP), "left_anti")
 
 
+def gap_before(rows: DataFrame, group: str | list[str], order: list[str], value: str) -> DataFrame:
+    """rows with `gap`: from the value of the row before to this one's; null for the first."""
+    along = Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(*order)
+    return rows.withColumn("gap", F.col(value) - F.lag(value).over(along))
+
+
 def reading_order(blocks: DataFrame) -> DataFrame:
     """blocks with `column` and `place`. Columns part where the gap between neighbouring centres is over 1.5 times the upper median gap (the greatest gap, if that is 0); within a column blocks go by y."""
     page = Window.partitionBy(*PAGE)
     across = page.orderBy("centre", "block")
-    out = blocks.withColumn("centre", (F.col("x0") + F.col("x1")) / 2.0).withColumn("gap", F.lead("centre").over(across) - F.col("centre"))
+    out = gap_before(blocks.withColumn("centre", (F.col("x0") + F.col("x1")) / 2.0), PAGE, ["centre", "block"], "centre")
     gaps = F.array_sort(F.collect_list("gap").over(page))  # of one page
     median = F.coalesce(F.get(gaps, F.floor(F.size(gaps) / 2).cast("int")), F.lit(0.0))
     usual = F.when(median == 0, F.coalesce(F.array_max(gaps), F.lit(0.0))).otherwise(median)
     out = out.withColumn("parts", F.coalesce((F.col("gap") > COLUMN_GAP * usual).cast("int"), F.lit(0)))
-    out = out.withColumn("column", F.coalesce(F.sum("parts").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = out.withColumn("column", F.sum("parts").over(across))
     return out.withColumn("place", F.row_number().over(page.orderBy("column", "y0", "centre", "block"))).drop("gap", "parts")
 
 

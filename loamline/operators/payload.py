@@ -28,6 +28,20 @@ def html_payload(chunks: DataFrame, parser_version: str, ingest_time: Column) ->
     return chunks.select("document_id", F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))).alias("value"))
 
 
+def pdf_payload(chunks: DataFrame, pages: DataFrame, parser_version: str, ingest_time: Column) -> DataFrame:
+    """(document_id, chunk_id, value): one JSON line per chunk of a page with sorted keys and its nulls. chunks: as pdf_chunks(); pages: document_id, page_number, figures (array), used_ocr, source_url, raw_key, original_url, original_manifest (JSON text). A page without text has one empty chunk that carries its figures; else they are on each of its chunks."""
+    both = chunks.join(pages, ["document_id", "page_number"])
+    fields = {
+        "document_id": F.col("document_id"), "chunk_id": F.col("chunk_id"), "chunk_index": F.col("chunk_number"), "chunk_type": F.when(F.col("text") == "", "pdf_page").otherwise("pdf_page_window"), "text": F.col("text"),
+        "token_count": F.col("token_count"), "token_range": F.array("token_start", "token_end"), "document_total_tokens": F.col("document_total_tokens"), "semantic_region": F.col("semantic_region"),
+        "figures": F.coalesce("figures", F.array().cast("array<string>")), "file_type": F.lit("application/pdf"), "source_url": F.col("source_url"), "page_number": F.col("page_number"), "ingest_time": ingest_time,
+        "parser_version": F.lit(parser_version), "used_ocr": F.coalesce("used_ocr", F.lit(False)), "original_manifest": F.try_parse_json("original_manifest"),
+        "provenance": F.struct(F.col("document_id").alias("raw_sha256"), F.col("raw_key"), F.col("original_url")), "embedding": F.lit(None).cast("array<float>"),
+    }
+    line = F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+    return both.select("document_id", "chunk_id", line.alias("value"))
+
+
 def manifest(url: Column, file_hash: Column, mime_ext: Column, size: Column, storage_url: Column, etag: Column, modified: Column, version: str, at: Column) -> Column:
     """What is known of a fetched page."""
     return F.struct(file_hash.alias("file_hash"), mime_ext.alias("mime_ext"), url.alias("original_url"), etag.alias("remote_etag"), modified.alias("remote_lastmod"), F.lit(version).alias("scraper_version"), size.cast("long").alias("size_bytes"), storage_url.alias("storage_url"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loamline.plans import relational, retrieval, scalars
+from loamline.plans import ingest, relational, retrieval, scalars
 
-QUERIES = {**scalars.QUERIES, **relational.QUERIES, **retrieval.QUERIES}
-ORACLES = {**scalars.ORACLES, **relational.ORACLES, **retrieval.ORACLES}
+QUERIES = {**scalars.QUERIES, **relational.QUERIES, **retrieval.QUERIES, **ingest.QUERIES}
+ORACLES = {**scalars.ORACLES, **relational.ORACLES, **retrieval.ORACLES, **ingest.ORACLES}
 FLAGSHIP = "q1_retrieve"

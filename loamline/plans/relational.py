@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loamline.functions import scalar as s
-from loamline.operators import crawl, index, layout, sync
-from loamline.plans.scalars import table
+from loamline.operators import answers, chunking, crawl, index, layout, retrieve, sync
+from loamline.plans.scalars import CANONICAL_SQL, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,9 +52,9 @@ def j5_f15_q8_mirror(spark, d):
     return sync.mirror(local, remote, delete_orphans=True)
 
 
-@query("SELECT source, sum(n_chars)::BIGINT AS document_total, count(*) AS chunk_count, max(n_chars) AS most FROM documents GROUP BY source")
+@query("SELECT source, sum(n_chars)::BIGINT AS document_total_tokens, count(*) AS chunk_count, max(n_chars) AS last_number FROM documents GROUP BY source")
 def a1_a2_a3_totals(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("document_total"), F.count(F.lit(1)).alias("chunk_count"), F.max("n_chars").alias("most"))
+    return index.document_totals(table(spark, d, "documents"), "source", "n_chars", "n_chars")
 
 
 @query("""
@@ -85,7 +83,7 @@ def p1_s5_normalised_chunks(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def a5_status_counts(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return crawl.status_counts(table(spark, d, "events"), "event_type")
 
 
 @query(r"""
@@ -98,16 +96,16 @@ def a6_w2_nearest_per_text(spark, d):
     return one_per_text(docs).select(F.col("chunk_id").alias("doc_id"))
 
 
-@query("SELECT count(DISTINCT regexp_replace(url, '[?#].*$', '')) AS urls, count(DISTINCT sha256(html)) AS contents FROM pages")
+@query(CANONICAL_SQL.split("SELECT page_id, regexp_replace(scheme")[0] + """
+    SELECT count(DISTINCT regexp_replace(scheme || '://' || netloc || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END, '/$', '')) AS urls, (SELECT count(DISTINCT sha256(html)) FROM pages) AS contents FROM v
+""")
 def a7_distinct_urls(spark, d):
-    return table(spark, d, "pages").agg(F.count_distinct(F.regexp_replace("url", "[?#].*$", "")).alias("urls"), F.count_distinct(F.sha2("html", 256)).alias("contents"))
+    return crawl.distinct_pages(table(spark, d, "pages"))
 
 
-@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS joined_md5, count(*) AS turns FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS joined_md5, count(*) AS parts FROM conversations GROUP BY conv_id")
 def a8_joined_texts(spark, d):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    out = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
-    return out.select("conv_id", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("joined_md5"), F.size("t").cast("long").alias("turns"))
+    return chunking.joined_texts(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", F.md5("text").alias("joined_md5"), "parts")
 
 
 @query(r"""
@@ -140,14 +138,16 @@ def q6_f8_candidate_links(spark, d):
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS src, l_suppkey * 37 % 500 AS dst FROM lineitem WHERE l_orderkey % 20 = 0),
-    b(url, depth) AS (SELECT 7, 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 2)
-    SELECT url::VARCHAR AS url, min(depth) AS depth FROM b GROUP BY url
+    WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_linenumber = 7 AS prioritized FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, FALSE FROM lineitem),
+    b(url, depth) AS (SELECT 'p7', 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 2 OR e.prioritized AND b.depth < 4)
+    SELECT url, min(depth) AS depth FROM b GROUP BY url
 """)
 def q6_d16_crawl_frontier(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
-    edges = li.select((F.col("l_partkey") % 500).cast("string").alias("src"), (F.col("l_suppkey") * 37 % 500).cast("string").alias("dst"), F.lit(False).alias("prioritized")).distinct()
-    return crawl.crawl(edges, spark.createDataFrame([("7",)], "url string"))
+    # Beyond the depth limit only some links from parts are followed, and none from suppliers.
+    part, supplier = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
+    li = table(spark, d, "lineitem")
+    edges = li.select(part.alias("src"), supplier.alias("dst"), (F.col("l_linenumber") == 7).alias("prioritized")).union(li.select(supplier, part, F.lit(False))).distinct()
+    return crawl.crawl(edges, spark.createDataFrame([("p7",)], "url string"))
 
 
 @query("""
@@ -157,36 +157,29 @@ def q6_d16_crawl_frontier(spark, d):
 def w3_running_offsets(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("sentence", "line"))
     rows = rows.select("doc_id", F.col("sentence").cast("long").alias("sentence"), F.size(F.split("line", " ")).cast("long").alias("token_len"))
-    before = Window.partitionBy("doc_id").orderBy("sentence").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("token_start", F.coalesce(F.sum("token_len").over(before), F.lit(0)))
+    return chunking.sentence_offsets(rows, "doc_id", "sentence", "token_len")
 
 
 @query("SELECT event_id, user_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS gap FROM events")
 def w5_gaps(spark, d):
-    return table(spark, d, "events").withColumn("gap", F.round(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), 6)).select("event_id", "user_id", "gap")
+    return layout.gap_before(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "user_id", F.round("gap", 6).alias("gap"))
 
 
 @query("SELECT conv_id, turn, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS citation FROM conversations")
 def w6_running_citation(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.count_if(F.col("role") == "assistant").over(Window.partitionBy("conv_id").orderBy("turn")).alias("citation"))
+    return answers.running_citations(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "assistant").select("conv_id", "turn", "citation")
 
 
-@query("SELECT vec_id, round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), vec_id LIMIT 50")
+@query("SELECT vec_id::VARCHAR AS chunk_id, round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), vec_id::VARCHAR LIMIT 50")
 def t1_single_top_k(spark, d):
     e = table(spark, d, "embeddings")
-    one = e.where("vec_id = 3").select(F.col("embedding").alias("q"))
-    near = e.crossJoin(F.broadcast(one)).select("vec_id", s.l2_distance(F.col("embedding"), F.col("q")).alias("distance"))
-    return near.orderBy("distance", "vec_id").limit(50).select("vec_id", F.round("distance", 6).alias("distance"))
+    asked = e.where("vec_id = 3").select(F.lit("one").alias("request_id"), "embedding")
+    return retrieve.top_k(asked, e.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit(None).cast("string").alias("meta")), 50).select("chunk_id", F.round("distance", 6).alias("distance"))
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def x1_except(spark, d):
-    return table(spark, d, "documents").select("doc_id").exceptAll(table(spark, d, "labels").select("doc_id")).distinct()
-
-
-@query("SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id AS id, text FROM benchmark")
-def x2_x3_union(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return sync.stale(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS audit_date, CASE WHEN props <> '' THEN sha256(props) END AS query_hash FROM events")
@@ -198,16 +191,16 @@ def k9_d15_audit(spark, d):
 
 
 _BLOCKS_SQL = """
-    p AS (SELECT l_orderkey % 400 AS document_id, 1 + l_orderkey % 3 AS page_number, l_orderkey * 10 + l_linenumber AS block, (l_partkey * 7 % 500)::DOUBLE AS x0, ((l_suppkey * 13 + l_linenumber * 37) % 700)::DOUBLE AS y0,
-                 l_partkey * 7 % 500 + l_quantity * 2 AS x1, ((l_suppkey * 13 + l_linenumber * 37) % 700 + 10 + l_linenumber)::DOUBLE AS y1, 'w' || l_partkey AS text FROM lineitem WHERE l_orderkey < 4000),
+    p AS (SELECT l_orderkey // 100 AS document_id, 1 + l_orderkey % 3 AS page_number, l_orderkey * 10 + l_linenumber AS block, (l_partkey * 7 % 500)::DOUBLE AS x0, ((l_suppkey * 13 + l_linenumber * 37) % 700)::DOUBLE AS y0,
+                 l_partkey * 7 % 500 + l_quantity * 2 AS x1, ((l_suppkey * 13 + l_linenumber * 37) % 700 + 10 + l_linenumber)::DOUBLE AS y1, 'w' || l_partkey AS text FROM lineitem),
     f AS (SELECT * FROM p WHERE block % 9 = 0), b AS (SELECT * FROM p WHERE block % 9 <> 0)
 """
 
 
 def _blocks(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 4000")
+    li = table(spark, d, "lineitem")
     x, y = (F.col("l_partkey") * 7 % 500).cast("double"), ((F.col("l_suppkey") * 13 + F.col("l_linenumber") * 37) % 700).cast("double")
-    p = li.select((F.col("l_orderkey") % 400).alias("document_id"), (1 + F.col("l_orderkey") % 3).alias("page_number"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("block"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity") * 2).alias("x1"), (y + 10 + F.col("l_linenumber")).alias("y1"), F.concat(F.lit("w"), "l_partkey").alias("text"))
+    p = li.select(F.floor(F.col("l_orderkey") / 100).alias("document_id"), (1 + F.col("l_orderkey") % 3).alias("page_number"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("block"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity") * 2).alias("x1"), (y + 10 + F.col("l_linenumber")).alias("y1"), F.concat(F.lit("w"), "l_partkey").alias("text"))
     return p.where("block % 9 <> 0"), p.where("block % 9 = 0")
 
 
@@ -232,21 +225,6 @@ def c22_table_text(spark, d):
     return t.select("conv_id", layout.table_text(F.transform("t", lambda x: x["row"])).alias("tsv"))
 
 
-@query(r"""
-    SELECT doc_id::VARCHAR AS document_id, doc_id || '_c0000' AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'http://o' WHEN doc_id % 3 = 0 THEN 'http://s' END AS source_url, CASE WHEN lang = source THEN '["' || lang || '"]' ELSE '["' || lang || '","' || source || '"]' END AS headings, NOT (doc_id % 2 = 0 OR doc_id % 3 = 0) AS lacks_source
-    FROM documents WHERE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) < 90
-""".replace("\\", "\\"))
-def p10_p13_p14_chunk_payload(spark, d):
-    from loamline.operators import chunking, payload
-
-    docs = table(spark, d, "documents").where(F.size(F.split(s.squeeze(F.col("text")), " ")) < 90)
-    original, source = F.when(F.col("doc_id") % 2 == 0, "http://o"), F.when(F.col("doc_id") % 3 == 0, "http://s")
-    about = docs.select(F.col("doc_id").cast("string").alias("document_id"), payload.source_url(original, source, F.lit(None).cast("string")).alias("source_url"), original.alias("original_url"), F.col("lang").alias("title"), F.col("source").alias("parsed_title"), F.lit(None).cast("string").alias("file_type"), F.col("doc_id").cast("string").alias("raw_key"))
-    lines = payload.html_payload(chunking.html_chunks(docs, "doc_id", "text").join(about, "document_id"), "v1", F.lit("2024-01-01T00:00:00.000Z"))
-    get = lambda k: F.get_json_object("value", f"$.{k}")
-    return lines.select("document_id", get("chunk_id").alias("chunk_id"), get("source_url").alias("source_url"), get("headings").alias("headings"), (~F.col("value").contains('"source_url"')).alias("lacks_source"))
-
-
 @query("SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, -1, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def k5_insert_absent(spark, d):
     from loamline.operators import payload

@@ -142,7 +142,7 @@ _PAGE_WINDOW_SQL = _WINDOW_SQL.replace("FROM documents", "FROM (SELECT conv_id |
 """)
 def u1_p11_w4_pdf_chunks(spark, d):
     pages = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), (F.col("turn") + 1).alias("page_number"), "text")
-    return chunking.pdf_chunks(pages)
+    return chunking.pdf_chunks(pages).drop("chunk_number", "token_start", "token_end")
 
 
 def _raw_requests(spark, d):

@@ -61,9 +61,15 @@ def c6_sentence_split(spark, d):
     return t.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), F.md5(F.array_join("ss", "|")).alias("sentences_md5"))
 
 
-@query(r"SELECT doc_id, len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS n_tokens FROM documents WHERE trim(text) <> ''")
+@query(r"SELECT doc_id, len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS n_tokens FROM documents")
 def c7_token_count(spark, d):
-    return table(spark, d, "documents").where(F.trim("text") != "").select("doc_id", F.size(F.split(s.canonical_text(F.col("text")), " ")).cast("long").alias("n_tokens"))
+    return table(spark, d, "documents").select("doc_id", s.token_count(F.col("text")).cast("long").alias("n_tokens"))
+
+
+@query("SELECT page_id, 'bucket/raw/' || regexp_replace(regexp_replace(url, '^https?://', ''), '^/+', '') AS remote FROM pages")
+def c26_remote_path(spark, d):
+    rel = F.concat(F.lit("//"), F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "/", r"\\\\"))
+    return table(spark, d, "pages").select("page_id", s.remote_path(F.lit("bucket"), F.lit("/raw/"), rel).alias("remote"))
 
 
 _MID = "(l_linenumber * 10 + l_linenumber * 10 + l_quantity) / 2.0 / 120"
@@ -79,7 +85,7 @@ def c8_c9_regions(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.html_region(start, start + F.col("l_quantity"), F.lit(120)).alias("html_region"), s.pdf_region(start, F.col("l_quantity"), F.lit(120), F.lit(1), F.lit(1)).alias("pdf_region"))
 
 
-_CANONICAL_SQL = r"""
+CANONICAL_SQL = r"""
     WITH u AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages),
     v AS (SELECT page_id, url, lower(regexp_extract(bare, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(bare, '^[A-Za-z]+://([^/?]*)', 1)) AS netloc,
                  regexp_extract(bare, '^[A-Za-z]+://[^/?]*([^?]*)', 1) AS path,
@@ -89,7 +95,7 @@ _CANONICAL_SQL = r"""
 """
 
 
-@query(_CANONICAL_SQL)
+@query(CANONICAL_SQL)
 def c10_c15_canonical_url(spark, d):
     return table(spark, d, "pages").select("page_id", s.canonical_url(F.col("url")).alias("canonical_url"), s.host(F.col("url")).alias("host"))
 
@@ -143,8 +149,9 @@ def a11_digests(spark, d):
 
 @query("SELECT event_id, value FROM events WHERE json_extract_string(props, '$.k') = '69' AND event_type = 'error'")
 def f1_metadata_filter(spark, d):
-    meta = F.expr("try_parse_json(props)")
-    return table(spark, d, "events").where((F.try_variant_get(meta, "$.k", "string") == "69") & (F.col("event_type") == "error")).select("event_id", "value")
+    from loamline.operators.retrieve import metadata_filter
+
+    return metadata_filter(table(spark, d, "events").where("event_type = 'error'"), "props", {"k": "69", "no key!": "x"}).select("event_id", "value")
 
 
 @query(r"""

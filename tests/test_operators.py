@@ -173,7 +173,8 @@ def test_files(spark, tmp_path):
     objects = files.raw_objects(spark, str(raw)).where("path like '%.html'")
     got = files.with_manifest(objects.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), files.manifests(spark, str(raw)).withColumn("raw_key", F.regexp_replace("raw_key", "^file:/+", "/"))).collect()
     assert {r.path.rsplit("/", 1)[1]: r.file_hash for r in got} == {"a.html": "abc", "b.html": None}
-    assert files.chunk_lines(spark, str(raw)).count() == 2
+    (raw / "y.chunks.jsonl").write_bytes('{"a":"\u00e9"}\n'.encode("latin-1"))
+    assert sorted(r.value for r in files.chunk_lines(spark, str(raw)).collect()) == ['{"a":"\u00e9"}', '{"a":1}', '{"a":2}']
     chunks = spark.createDataFrame([("d", "d_c0000", None)], "document_id string, chunk_id string, page_number int")
     files.write_chunk_files(chunks, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"chunk_id":"d_c0000","document_id":"d"}'
@@ -210,10 +211,93 @@ def test_crawl(spark):
     edges = spark.createDataFrame([("a", "b", False), ("b", "c", False), ("c", "d", False), ("c", "e", True), ("e", "a", True), ("e", "f", True)], "src string, dst string, prioritized boolean")
     got = crawl.crawl(edges, spark.createDataFrame([("a",)], "url string"))
     assert {r.url: r.depth for r in got.collect()} == {"a": 0, "b": 1, "c": 2, "e": 3, "f": 4}
-    page = spark.createDataFrame([(1, "http://h/x/", '<a href="../f.pdf">Form</a><script>"y.json"</script><a href="q">how to apply</a><a>none</a>'), (2, None, None)], "page_id long, url string, html string")
+    html = '<link rel=next href="n.html"><a href="/long/f.pdf">Form</a><script>"/data/v1/all.json?a=1" "/a.json" "rel/f.zip"</script><a href="q">how to apply</a><a>none</a><map><area href="m"></map>'
+    page = spark.createDataFrame([(1, "http://h/x/", html), (2, None, None)], "page_id long, url string, html string")
     read = {r.page_id: r for r in crawl.link_density(crawl.read_pages(page)).collect()}
-    assert [x.href for x in read[1].links] == ["http://h/f.pdf", "http://h/x/q"] and read[1].harvested == ["http://h/x/y.json", "http://h/f.pdf"] and read[2].link_density == 0.0
-    assert {(r.url, r.prioritized) for r in crawl.candidates(page).collect()} == {("http://h/f.pdf", True), ("http://h/x/q", False), ("http://h/x/y.json", False)}
+    assert [x.href for x in read[1].links] == ["http://h/x/n.html", "http://h/long/f.pdf", "http://h/x/q", "http://h/x/m"]
+    assert read[1].harvested == ["http://h/data/v1/all.json?a=1", "http://h/long/f.pdf"] and read[2].link_density == 0.0
+    assert {(r.url, r.prioritized) for r in crawl.candidates(page).collect()} == {("http://h/long/f.pdf", True), ("http://h/x/q", False), ("http://h/data/v1/all.json?a=1", False)}
+
+
+def test_crawl_fetches_documents_first_and_follows(spark):
+    pages = {"http://h/a": '<a href="/b">how to apply</a><a href="/f/one.pdf">pdf</a><a href="http://other/x">notice</a>', "http://h/b": '<a href="/c">notice</a>', "http://h/c": '<a href="/d">notice</a><a href="/files/e">e</a>', "http://h/d": "d", "http://h/files/e": "e", "http://h/f/one.pdf": "same", "http://other/x": "x"}
+    table, asked = spark.createDataFrame(list(pages.items()), "url string, html string"), []
+
+    def fetch(frontier):
+        asked.append([(r.url, r.prioritized) for r in frontier.collect()])
+        return frontier.select("url").join(table, "url")
+
+    got = {r.url: r.depth for r in crawl.crawl_pages(spark.createDataFrame([("HTTP://H/a#x",), ("http://h/a",)], "url string"), fetch, allowed=("h",)).collect()}
+    assert got == {"http://h/a": 0, "http://h/b": 1, "http://h/f/one.pdf": 1, "http://h/c": 2, "http://h/files/e": 3}
+    assert asked[1] == [("http://h/f/one.pdf", True), ("http://h/b", False)]
+
+
+def test_html_to_chunks_and_manifests(spark):
+    from loamline.operators import ingest
+
+    page = '<html><head><title>A &amp; B</title><link rel="canonical" href="http://c/x"></head><body><p>One two.<p>Three</p><ul><li>four</ul><div>five</div><script><p>six</script></body>'
+    objects = spark.createDataFrame([("a.html", page.encode()), ("b.html", page.encode()), ("c.html", "caf\u00e9".encode("latin-1")), ("d.png", b"x"), ("e.html", b"done")], "key string, content binary")
+    import hashlib
+
+    done = spark.createDataFrame([(hashlib.sha256(b"done").hexdigest(),)], "document_id string")
+    lines, manifests = ingest.parse(objects, done, "v1", F.lit("t"))
+    got = [json.loads(r.value) for r in lines.collect()]
+    # The last sentence comes again, as it does in every short text of several.
+    assert {x["text"]: (x.get("source_url"), x.get("headings")) for x in got} == {"One two. Three four Three four": ("http://c/x", ["A & B"]), "caf\u00e9": (None, None)}
+    assert {r.key: (r.saved_chunks, r.error) for r in manifests.collect()} == {"a.html": (1, None), "b.html": (1, None), "c.html": (1, None), "d.png": (None, "no parser for images")}
+    ran = []
+    assert ingest.run_stages([("one", lambda: ran.append(1)), ("two", lambda: 1 / 0), ("three", lambda: ran.append(3))]) == 1 and ran == [1] and ingest.run_stages([("one", lambda: 1)]) == 0
+
+
+def test_mirror_is_carried_out(spark, tmp_path):
+    here, there = tmp_path / "here", tmp_path / "there"
+    (here / "sub").mkdir(parents=True)
+    there.mkdir()
+    (here / "sub" / "a").write_text("new")
+    (here / "b").write_text("same")
+    (there / "b").write_text("same")
+    (there / "orphan").write_text("x")
+    assert sorted((r.rel, r.size) for r in files.listing(spark, str(here)).collect()) == [("b", 4), ("sub/a", 3)]
+
+    def digests(path):
+        found = files.raw_objects(spark, str(path)).select(F.regexp_replace("path", f"^file:/*{str(path).lstrip('/')}/", "").alias("rel"), *sync.digests(F.col("content")))
+        return found.withColumn("content_md5", F.lit(None).cast("string")).withColumn("etag", F.lit(None).cast("string"))
+
+    plan = sync.mirror(digests(here), digests(there), delete_orphans=True)
+    dry = sync.carry_out(plan, f"file://{here}", f"file://{there}", dry_run=True).collect()
+    assert {(r.rel, r.action, r.done) for r in dry} == {("sub/a", "upload", False), ("orphan", "delete", False)} and (there / "orphan").exists()
+    assert all(r.done for r in sync.carry_out(plan, f"file://{here}", f"file://{there}").collect())
+    assert (there / "sub" / "a").read_text() == "new" and not (there / "orphan").exists()
+
+
+def test_requests_with_their_own_limits_and_odd_vectors(spark):
+    chunks = spark.createDataFrame([(f"c{i}", [float(i), 0.0], "{}", f"t{i}", None) for i in range(6)] + [("long", [0.0] * 3, "{}", "l", None), ("null", None, None, None, None)], "chunk_id string, embedding array<float>, meta string, text string, source_url string")
+    asked = spark.createDataFrame([("a", [0.0, 0.0], 4, 2), ("b", [5.0, 0.0], None, None), ("none", None, None, None), ("other", [0.0] * 3, None, None)], "request_id string, embedding array<float>, raw_k int, top_k int")
+    got: dict = {}
+    for r in retrieve.top_k(asked, chunks, 3).orderBy("request_id", "place").collect():
+        got.setdefault(r.request_id, []).append(r.chunk_id)
+    assert got == {"a": ["c0", "c1", "c2", "c3"], "b": ["c5", "c4", "c3"], "other": ["long"]}
+    best = retrieve.retrieve(asked, chunks, 3, 3).groupBy("request_id").count().collect()
+    assert {r.request_id: r["count"] for r in best} == {"a": 2, "b": 3, "other": 1}
+
+
+def test_many_requests_are_answered_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "MOST_REQUESTS", 3)
+    chunks = spark.createDataFrame([(f"c{i}", [float(i)], None) for i in range(40)], "chunk_id string, embedding array<float>, meta string")
+    asked = spark.createDataFrame([(f"r{i}", [float(i)]) for i in range(10)], "request_id string, embedding array<float>")
+    assert {(r.request_id[1:], r.chunk_id[1:]) for r in retrieve.top_k(asked, chunks, 1).collect()} == {(str(i), str(i)) for i in range(10)}
+
+
+def test_a_model_that_fails_refuses_one_request(spark):
+    def model(prompt):
+        if "bad" in prompt:
+            raise ValueError("no")
+        return "fine [n]."
+
+    chunks = spark.createDataFrame([("c", [0.0], "{}", "text", None)], "chunk_id string, embedding array<float>, meta string, text string, source_url string")
+    asked = spark.createDataFrame([(q, "en", "web", q, None, None, [0.0], k) for q, k in (("good", "1"), ("bad", "x"))], "request_id string, language string, channel string, query string, question string, asr_confidence string, embedding array<float>, top_k string")
+    got = {r.request_id: r.resolution for r in respond.answer(asked, chunks, generate=respond.guarded(model)).collect()}
+    assert got == {"good": "answer", "bad": "refusal"}
 
 
 def test_layout(spark):
