@@ -36,8 +36,8 @@ class Capacity:
     rule: str = "norm"
 
 
-#: Pieces that one task packs together; a group leaves about half a sequence unfilled.
-GROUP = 16_384
+#: Pieces that one task packs together, and the share of its tokens from which on a sequence counts as filled: pieces of the others are dealt and packed anew.
+GROUP, FILLED = 8_192, 0.99
 
 
 def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
@@ -114,23 +114,42 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limit: i
     return src.mapInArrow(_cut(tokenizer_path, end_id, limit, keep_ids), _PIECES + (", ids array<int>" if keep_ids else ""))
 
 
+def _dealt(rows: DataFrame, groups: int, level: int, cap: Capacity) -> DataFrame:
+    """(row, length, sequence_id, offset, filled) of rows (row, length): dealt by hash over groups, each packed by itself."""
+    dealt = rows.select("row", "length", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("int").alias("group"))
+
+    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row", kind="stable")
+        seq, offset = best_fit(rows["length"].to_numpy(), cap)
+        used = np.bincount(seq, rows["length"])
+        return pd.DataFrame({"row": rows["row"], "length": rows["length"], "sequence_id": (level << 52) + (int(key[0]) << 24) + seq, "offset": offset, "filled": used[seq] >= FILLED * cap.tokens})
+
+    return stored(dealt.groupBy("group").applyInPandas(place, "row long, length long, sequence_id long, offset long, filled boolean"), "places")
+
+
 def pack(pieces: DataFrame, cap: Capacity = Capacity(), group: int = GROUP) -> DataFrame:
     """pieces (row, length and others) with sequence_id and offset; row must be unique and pieces a stored table.
 
     Pieces are dealt at random over groups of about `group`, so a group's size
-    follows neither ids nor lengths, and each group is packed by itself. Every
-    row gets a place, repeated rows included; an empty table gives no rows.
+    follows neither ids nor lengths, and each group is packed by itself. The few
+    sequences that a group doesn't fill are opened again, and their pieces packed
+    together with those of other groups, until one group holds them all or none
+    goes away. Every row gets a place, repeated rows included; an empty table
+    gives no rows.
     """
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group"))
-
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row", kind="stable")
-        seq, offset = best_fit(rows["length"].to_numpy(), cap)
-        return pd.DataFrame({"row": rows["row"], "sequence_id": (int(key[0]) << 32) + seq, "offset": offset})
-
-    places = dealt.groupBy("group").applyInPandas(place, "row long, sequence_id long, offset long")
-    return pieces.join(places, "row")
+    places = _dealt(pieces, groups, 0, cap)
+    done, level = None, 0
+    while groups > 1:
+        rest = places.where("not filled")
+        fewer = -(-rest.count() // group)
+        if not 0 < fewer < groups:
+            break
+        groups, level = fewer, level + 1
+        done = places.where("filled") if done is None else done.union(places.where("filled"))
+        places = _dealt(rest, groups, level, cap)
+    done = places if done is None else done.union(places)
+    return pieces.join(done.select("row", "sequence_id", "offset"), "row")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: Capacity = Capacity(), group: int = GROUP, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

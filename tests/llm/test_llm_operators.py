@@ -160,6 +160,21 @@ def test_packing(spark, sf_dir, texts):
     assert rows["sequence_id"].nunique() <= -(-rows["length"].sum() // 4096) + 1
 
 
+def test_groups_waste_next_to_nothing(spark):
+    """Many small groups come within a sequence or two of the least that the tokens need."""
+    rng = np.random.default_rng(15)
+    lengths = np.minimum(rng.geometric(0.003, 6000), 4096)
+    from loamline.llm.common import stored
+
+    pieces = stored(spark.createDataFrame(list(enumerate(map(int, lengths))), "row long, length long"), "some")
+    got = pack.pack(pieces, pack.Capacity(), group=300).toPandas()
+    assert len(got) == 6000 and got["row"].is_unique
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        ends = own["length"].cumsum()
+        assert own["offset"].tolist() == [0, *ends.tolist()[:-1]] and ends.iloc[-1] <= 4096
+    assert got["sequence_id"].nunique() <= 1.002 * -(-lengths.sum() // 4096) + 1
+
+
 def test_sequences_hold_the_ids(spark, sf_dir, texts):
     path = queries.tokenizer("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents")
