@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from loamline.llm.labelled import SAMPLE_ROWS, Logistic, fold, sample
 
-#: Words per window and from one window to the next; bytes of the toxic dictionary's own part (the ordinary part has twice as many); zstandard's level.
-WINDOW, STEP, OWN_BYTES, LEVEL = 2, 1, 8192, 3
+#: Words per window, of which there is one at each word; bytes of the toxic dictionary's own part (the ordinary part has twice as many); zstandard's level.
+WINDOW, OWN_BYTES, LEVEL = 2, 8192, 3
 #: A longer run of bytes without a space counts as several words.
 WORD_BYTES = 64
 #: Lengths of pieces; the least number and share of toxic texts that hold one; how many times as frequent it must be there.
@@ -46,8 +46,8 @@ CARRIER = hashlib.sha512(b"carrier").digest()
 RARE = (1e-2, 1e-3, 1e-4)
 #: The regression's ridge penalty; the score at which a text counts as toxic, and the share of ordinary texts that may reach it out of fold.
 RIDGE, DECIDED, ORDINARY = 10.0, 0.7, 0.002
-#: Windows whose difference a task remembers before it starts anew.
-MEMORY = 250_000
+#: Windows whose difference a task remembers before it starts anew, words of texts that are looked at together, and windows that are compressed in one call.
+MEMORY, TOGETHER, CALL = 250_000, 50_000, 10_000
 
 
 _SPACED = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
@@ -88,7 +88,7 @@ class Dictionaries:
         import zstandard
 
         make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False)
-        return make(self.ordinary).compress, make(self.toxic).compress
+        return make(self.ordinary), make(self.toxic)
 
 
 #: A training text: its words joined by spaces, and whether it is toxic.
@@ -158,25 +158,39 @@ def train_dictionaries(texts: list[Text], count: tuple[Counter, Counter], seed:
     return Dictionaries(_dictionary(spans, OWN_BYTES) + common + CARRIER, bytes(OWN_BYTES) + common + CARRIER)
 
 
+def windows(words: list[bytes]) -> list[bytes]:
+    """Of a text with fewer words than a window has, all of it."""
+    return list(map(b" ".join, zip(*(words[k:] for k in range(WINDOW))))) or [b" ".join(words)]
+
+
 class Differences:
-    """The bytes that the toxic dictionary saves on each window of a text, the greatest first. Most windows repeat, and are compressed once."""
+    """The bytes that the toxic dictionary saves on each window of a text, the greatest first. Many windows repeat, and are compressed once."""
 
     def __init__(self, d: Dictionaries) -> None:
         self.ordinary, self.toxic = d.compressors()
         self.known: dict[bytes, int] = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known, out = self.known, []
-        for i in range(0, max(1, len(words) - WINDOW + STEP), STEP):
-            window = b" ".join(words[i : i + WINDOW])
-            d = known.get(window)
-            if d is None:
-                whole = CARRIER + b" " + window + b" "
-                d = known[window] = len(self.ordinary(whole)) - len(self.toxic(whole))
-            out.append(d)
-        return -np.sort(-np.array(out, float))
+    def _learn(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), CALL):
+            part = new[at : at + CALL]
+            whole = [CARRIER + b" " + w + b" " for w in part]
+            sizes = [[len(x) for x in c.multi_compress_to_buffer(whole)] for c in (self.ordinary, self.toxic)]
+            self.known.update(zip(part, (a - b for a, b in zip(*sizes))))
+
+    def __call__(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and (not some or size + len(texts[at]) <= TOGETHER):
+                some.append(windows(texts[at]))
+                size += len(texts[at])
+                at += 1
+            if len(self.known) > MEMORY:
+                self.known.clear()
+            known = self.known
+            self._learn(list(set().union(*some).difference(known)))
+            for w in some:
+                yield -np.sort(-np.fromiter(map(known.__getitem__, w), float, len(w)))
 
 
 def features(d: np.ndarray, thresholds: tuple[float, ...]) -> list[float]:
@@ -194,7 +208,7 @@ class ToxicityModel:
         if self.logistic is None:
             return lambda texts: [0.0] * len(texts)
         found = Differences(self.dictionaries)
-        return lambda texts: self.logistic(np.array([features(found(_words(t)), self.thresholds) for t in texts]).reshape(len(texts), -1)).tolist()
+        return lambda texts: self.logistic(np.array([features(d, self.thresholds) for d in found([_words(t) for t in texts])]).reshape(len(texts), -1)).tolist()
 
 
 def fit(rows: list[tuple[str, int]], folds: int = 3) -> ToxicityModel:
@@ -208,8 +222,7 @@ def fit(rows: list[tuple[str, int]], folds: int = 3) -> ToxicityModel:
     for k in range(folds):
         rest = [t for i, t in enumerate(texts) if i % folds != k]
         difference = Differences(train_dictionaries(rest, _sum(parts[:k] + parts[k + 1 :])))
-        for i in range(k, len(texts), folds):
-            found[i] = difference(texts[i][0].split())
+        found[k::folds] = difference([t.split() for t, _ in texts[k::folds]])
     usual = np.sort(np.concatenate([d for d, toxic in zip(found, y) if not toxic]))
     thresholds = tuple(float(usual[-1 - int(share * len(usual))]) + 1 for share in RARE)
     x = np.array([features(d, thresholds) for d in found])

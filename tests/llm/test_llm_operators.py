@@ -419,7 +419,7 @@ def test_toxicity_query_is_the_models(spark, sf_dir, texts):
     for r in queries.op8_compression_toxicity(spark, sf_dir).collect():
         words = toxicity._words(texts[r.doc_id])
         windows = [toxicity.CARRIER + b" " + b" ".join(words[i : i + 2]) + b" " for i in range(max(1, len(words) - 1))]
-        d = np.array(sorted((len(ordinary(w)) - len(toxic(w)) for w in windows), reverse=True), float)
+        d = np.array(sorted((len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows), reverse=True), float)
         x = np.array([d[0], d[:2].mean(), d[:4].mean(), d[:8].mean(), *(np.log1p((d >= t).sum()) for t in m.thresholds), np.log(len(d))])
         assert abs(r.score - m.logistic(x[None])[0]) < 1e-9 and r.predicted == (r.score >= 0.7)
 
