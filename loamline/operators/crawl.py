@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import predicates as p
-from loamline.functions.scalar import canonical_url
+from loamline.functions.scalar import canonical_url, decoded
 from loamline.functions.session import checkpoint_dir
 
 # Quoted addresses of documents and of data, by how they begin, their length and their ending.
 _DOCUMENT_URL = re.compile(r"""["']((?:/|https?://)[^"'\s]{6,400}\.(?:pdf|PDF|doc|docx|xls|xlsx|csv|zip))["']""")
 _API_URL = re.compile(r"""["']((?:/|https?://)[^"'\s]{10,300}\.json(?:\?[^\s"']*)?)["']""", re.I)
 MAX_LINKS, MAX_DEPTH = 400, 2
+_ORIGIN = "^([a-z][a-z0-9+.-]*://[^/?#]*)"
 
 
 class _Reader(HTMLParser):
@@ -152,13 +153,20 @@ def status_counts(fetches: DataFrame, status: str = "status") -> DataFrame:
     return fetches.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
+def robots_files(urls: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(origin, status, body) of the robots file of each origin among urls (url), fetched once. fetch: from (url) to (url, status, content)."""
+    origins = urls.select(F.regexp_extract(F.lower("url"), _ORIGIN, 1).alias("origin")).where("origin <> ''").distinct()
+    got = fetch(origins.select(F.concat("origin", F.lit("/robots.txt")).alias("url")))
+    return got.select(F.regexp_extract("url", _ORIGIN, 1).alias("origin"), "status", decoded(F.col("content").cast("binary")).alias("body"))
+
+
 def robots_allow(urls: DataFrame, robots: DataFrame, agent: str, default_delay: float = 1.0) -> DataFrame:
     """urls with allowed and crawl_delay, by the robots file of their origin. robots: origin, status, body; without one, or with a status other than 200, all is allowed. Each task parses a file once."""
     from urllib.robotparser import RobotFileParser
 
     from pyspark.sql import types as T
 
-    origin = F.regexp_extract(F.lower("url"), "^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
+    origin = F.regexp_extract(F.lower("url"), _ORIGIN, 1)
     both = urls.withColumn("origin", origin).join(robots.select("origin", "status", "body"), "origin", "left")
 
     @F.pandas_udf(T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField("crawl_delay", T.DoubleType())]))

@@ -13,6 +13,10 @@ from loamline.functions.scalar import https_source, source_label
 from loamline.operators.answers import validated
 from loamline.operators.retrieve import FINAL_K, RAW_K, passages, retrieve
 
+# What a model is told, and what a text message says instead of an answer.
+INSTRUCTION = "Answer from these passages if relevant; otherwise reply NOT_ENOUGH_INFORMATION. Each factual sentence must end with a [n] citation."
+NOTHING_FOUND, UNABLE = "No authoritative information found.", "Unable to provide information."
+
 
 def canonical_request(raw: DataFrame) -> DataFrame:
     """raw: request_id, language, channel, query, question, asr_confidence (text or number). Adds the trimmed, lower-cased form and the first fault."""
@@ -33,7 +37,7 @@ def gate(requests: DataFrame) -> DataFrame:
 
 def prompt(language: Column, query: Column, found: Column) -> Column:
     said = F.array_join(F.transform(found, lambda x: F.concat(x["number"].cast("string"), F.lit(". "), F.regexp_replace(F.coalesce(x["text"], F.lit("")), r"(?U)^\s+|\s+$", ""), F.lit("\n"))), "")
-    return F.concat(F.lit("LANGUAGE: "), language, F.lit("\n\nPASSAGES:\n"), said, F.lit("\nQUESTION:\n"), query, F.lit("\n\nAnswer from these passages if relevant; otherwise reply NOT_ENOUGH_INFORMATION. Each factual sentence must end with a [n] citation."))
+    return F.concat(F.lit("LANGUAGE: "), language, F.lit("\n\nPASSAGES:\n"), said, F.lit("\nQUESTION:\n"), query, F.lit("\n\n" + INSTRUCTION))
 
 
 def citations(found: Column) -> Column:
@@ -108,7 +112,7 @@ def sms(responses: DataFrame) -> DataFrame:
     """One text message per response: the first line and its source's host, or why there is none."""
     label = source_label(F.get(F.col("citations"), F.lit(0))["source_url"])
     said = F.concat(F.coalesce(F.get(F.col("answer_lines"), F.lit(0)), F.lit("")), F.coalesce(F.concat(F.lit("\nSource: "), label), F.lit("")))
-    refused = F.when(F.col("resolution") == "not_enough_info", "No authoritative information found.").otherwise("Unable to provide information.")
+    refused = F.when(F.col("resolution") == "not_enough_info", NOTHING_FOUND).otherwise(UNABLE)
     answered = F.col("resolution") == "answer"
     return responses.select("request_id", F.when(answered, said).otherwise(refused).alias("message"), F.when(~answered, F.coalesce("guidance_key", "resolution")).alias("reason"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import time
 import urllib.error
 import urllib.request
@@ -20,7 +21,7 @@ class _Part(InputPartition):
 
 
 class HttpReader(DataSourceReader):
-    """Options: urls (a JSON list), partitions (6), timeout (20 s), max_bytes (250 MB), attempts (2), method (GET; HEAD falls back to the first 1024 bytes)."""
+    """Options: urls (a JSON list), partitions (6), timeout (20 s), max_bytes (250 MB), attempts (2), seconds (after which a task fetches no more; none), method (GET; HEAD falls back to the first 1024 bytes)."""
 
     def __init__(self, options: dict) -> None:
         self.urls = json.loads(options.get("urls", "[]"))
@@ -28,6 +29,7 @@ class HttpReader(DataSourceReader):
         self.timeout = float(options.get("timeout", 20))
         self.max_bytes = int(options.get("max_bytes", 250 << 20))
         self.attempts = int(options.get("attempts", 2))
+        self.seconds = float(options.get("seconds", "inf"))
         self.method = options.get("method", "GET").upper()
 
     def partitions(self) -> list[_Part]:
@@ -48,12 +50,16 @@ class HttpReader(DataSourceReader):
                     why = (url, url, e.code, None, None, None, None, str(e))
                 except OSError as e:
                     why = (url, url, None, None, None, None, None, str(e))
-            time.sleep(min(60, 0.5 * 2**attempt))
+            time.sleep(min(60, 0.5 * 2**attempt) * random.uniform(0.8, 1.2))
         return why
 
     def read(self, partition: _Part) -> Iterator[tuple]:
+        began = time.monotonic()
         for url in partition.urls:
-            yield self._fetch(url)
+            if time.monotonic() - began > self.seconds:
+                yield url, url, None, None, None, None, None, "out of time"
+            else:
+                yield self._fetch(url)
 
 
 class HttpSource(DataSource):

@@ -219,6 +219,15 @@ def test_crawl(spark):
     assert {(r.url, r.prioritized) for r in crawl.candidates(page).collect()} == {("http://h/long/f.pdf", True), ("http://h/x/q", False), ("http://h/data/v1/all.json?a=1", False)}
 
 
+def test_links_and_robots(spark):
+    many = spark.createDataFrame([(1, "http://h/", "".join(f'<a href="/files/{i}">x</a>' for i in range(450)))], "page_id long, url string, html string")
+    assert crawl.candidates(many).count() == 400  # a page's first links
+    files_ = spark.createDataFrame([("http://h/robots.txt", 200, b"User-agent: *\nDisallow: /no"), ("http://g/robots.txt", 404, None)], "url string, status int, content binary")
+    urls = spark.createDataFrame([("http://H/no/x",), ("http://h/yes",), ("http://g/no",), ("nothing",)], "url string")
+    robots = crawl.robots_files(urls, lambda asked: asked.join(files_, "url"))
+    assert {r.url: r.allowed for r in crawl.robots_allow(urls, robots, "me").collect()} == {"http://H/no/x": False, "http://h/yes": True, "http://g/no": True, "nothing": True}
+
+
 def test_crawl_fetches_documents_first_and_follows(spark):
     pages = {"http://h/a": '<a href="/b">how to apply</a><a href="/f/one.pdf">pdf</a><a href="http://other/x">notice</a>', "http://h/b": '<a href="/c">notice</a>', "http://h/c": '<a href="/d">notice</a><a href="/files/e">e</a>', "http://h/d": "d", "http://h/files/e": "e", "http://h/f/one.pdf": "same", "http://other/x": "x"}
     table, asked = spark.createDataFrame(list(pages.items()), "url string, html string"), []
