@@ -97,3 +97,23 @@ def test_pages(spark):
     by = {r.page_id: r.text for r in got if r.page_id != 7}
     assert by[1] == by[2] == "" and by[None] == ("word " * 50_000).strip() and by[6].startswith("deep")
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_empty_and_odd_inputs_of_the_outputs(spark, docs, tmp_path):
+    none = pack.pack_documents(docs.limit(0), tokenizer("word_bpe_49k.json"))
+    assert pack.sequences(none).count() == 0
+    packed = pack.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    assert sum(len(r.doc_ids) for r in pack.sequences(packed).collect()) == packed.count()
+    spans = "identifier string, kind int, sure boolean, kinds int, contexts array<string>"
+    assert pii.learn(spark.createDataFrame([], spans)).count() == 0
+    odd = [(None, None, False, 31, ["a _ b"]), ("x", None, False, 31, None), ("y", 0, True, 1, []), ("z", 0, True, 1, ["a _ b"]), ("z", 0, True, 1, ["a _ b"])]
+    assert pii.learn(spark.createDataFrame(odd, spans)).count() == 0
+    shard.write_shards(docs.limit(0).select("doc_id", "text"), shard.even_forest(4), str(tmp_path / "none"))
+    assert spark.read.schema("doc_id long, text string").parquet(str(tmp_path / "none")).count() == 0
+    shard.write_shards(docs, shard.even_forest(4), str(tmp_path / "some"))
+    back = spark.read.parquet(str(tmp_path / "some"))
+    assert back.count() == len(TEXTS) and back.where("doc_id is null").select("loamline_shard").distinct().count() == 1
+
+
+def test_quality_without_character_counts(spark, docs, labels):
+    assert quality.quality(docs.drop("n_chars"), labels).count() == len(TEXTS)
