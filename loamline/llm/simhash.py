@@ -116,13 +116,33 @@ def _postings(sets: list[tuple[int, ...]]) -> Callable:
 
 
 def spread(n: int, block: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], at_once: int) -> list[tuple[int, int]]:
-    """Links that span the components of rows 0 to n - 1 under near(pivots, others) -> bool matrix. A row is a pivot once, and is compared only with rows that no link has reached yet: in a group of near copies nearly all are reached from the first. Of two blocks only pairs across them count: those within are another task's."""
+    """Links that span the components of rows 0 to n - 1 under near(pivots, others) -> bool matrix, of at_once pairs at most (or one row's). Few rows are compared all with all. Of more, a row is a pivot once, and is compared only with rows that no link has reached yet: in a group of near copies nearly all are reached from the first. Of two blocks only pairs across them count: those within are another task's."""
     two = (block != block[0]).any()
+    if n * n <= at_once:
+        every = np.arange(n)
+        hit = np.triu(near(every, every), 1)
+        if two:
+            hit &= block[:, None] != block
+        root, out = list(range(n)), []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in np.argwhere(hit).tolist():
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                root[rb] = ra
+                out.append((a, b))
+        return out
     left, out = np.arange(n), []
     while len(left):
         queue, left = left[:1], left[1:]
         while len(queue) and len(left):
-            pivots, queue = np.split(queue, [min(len(queue), max(1, at_once // len(left)))])
+            size = max(1, at_once // len(left))
+            pivots, queue = queue[:size], queue[size:]
             hit = near(pivots, left)
             if two:
                 hit &= block[pivots, None] != block[left]
@@ -137,10 +157,7 @@ def forest(ids: np.ndarray, index: np.ndarray, check: np.ndarray, block: np.ndar
     """Links that span what is linked among these rows (see spread). index: bytes to tally: the shared positions of every pair compared are counted, and pairs short of min_shared go; check: 64-bit words to verify what stays. seen: the numbers of pairs tallied, verified and near are added to it."""
 
     def near(pivots: np.ndarray, others: np.ndarray) -> np.ndarray:
-        shared = np.zeros((len(pivots), len(others)), np.uint16)
-        for place in range(index.shape[1]):
-            shared += index[pivots, None, place] == index[None, others, place]
-        enough = shared >= min_shared
+        enough = (index[pivots][:, None, :] == index[others][None]).sum(-1, dtype=np.uint16) >= min_shared
         a, b = np.nonzero(enough)
         enough[a, b] = np.bitwise_count(check[pivots[a]] ^ check[others[b]]).sum(-1, dtype=np.uint16) <= max_bits
         if seen is not None:
@@ -149,7 +166,7 @@ def forest(ids: np.ndarray, index: np.ndarray, check: np.ndarray, block: np.ndar
             seen["near"] += int(enough.sum())
         return enough
 
-    return [(int(ids[a]), int(ids[b])) for a, b in spread(len(ids), block, near, 1 << 21)]
+    return [(int(ids[a]), int(ids[b])) for a, b in spread(len(ids), block, near, max(1, (1 << 20) // index.shape[1]))]
 
 
 def _by_bits(min_shared: int, max_bits: int) -> Callable:

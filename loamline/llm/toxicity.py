@@ -47,7 +47,7 @@ RARE = (1e-2, 1e-3, 1e-4)
 #: The regression's ridge penalty; the score at which a text counts as toxic, and the share of ordinary texts that may reach it out of fold.
 RIDGE, DECIDED, ORDINARY = 10.0, 0.7, 0.002
 #: Windows whose difference a task remembers before it starts anew, words of texts that are looked at together, and windows that are compressed in one call.
-MEMORY, TOGETHER, CALL = 500_000, 50_000, 10_000
+MEMORY, TOGETHER, CALL = 100_000, 20_000, 5_000
 
 
 _SPACED = bytes(32 if chr(c) in string.punctuation else c for c in range(256))

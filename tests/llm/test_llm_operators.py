@@ -273,6 +273,34 @@ def test_count_filter_rejects_chance_meetings():
     assert seen["tallied"] == 400 * 399 // 2 and 200 <= seen["verified"] == pairs < 3000 and seen["near"] == 0
 
 
+def test_spanning_links_of_few_and_many_rows():
+    """All with all, or from pivots: the same components as of all pairs, over one block and across two."""
+    rng = random.Random(16)
+    for trial in range(60):
+        n, blocks = rng.randint(1, 60), rng.choice((1, 2))
+        x, fps = rng.getrandbits(64), []
+        for _ in range(n):
+            x = rng.getrandbits(64) if rng.random() < 0.3 else x
+            for _ in range(rng.randint(0, 3)):
+                x ^= 1 << rng.randrange(64)
+            fps.append(x)
+        block = np.array([rng.randrange(blocks) for _ in range(n)])
+        two = len(set(block.tolist())) > 1
+        near = lambda p, o: np.array([[(fps[a] ^ fps[b]).bit_count() <= 3 for b in o] for a in p]).reshape(len(p), len(o))  # noqa: B023, E731
+        want = _components(n, [(a, b) for a, b in itertools.combinations(range(n), 2) if (fps[a] ^ fps[b]).bit_count() <= 3 and (not two or block[a] != block[b])])
+        for at_once in (1, 50, 10_000):
+            got = simhash.spread(n, block, near, at_once)
+            assert len(got) < n and _components(n, got) == want
+
+
+def _components(n, links):
+    root = list(range(n))
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    return root
+
+
 def test_quads_hold_any_five():
     quads = simhash.quads_of_eight()
     assert len(quads) == 14 and all(any(set(q) <= set(c) for q in quads) for c in itertools.combinations(range(8), 5))
