@@ -21,8 +21,9 @@ import hashlib
 import re
 import string
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,16 +68,30 @@ def _pieces(word: bytes) -> list[bytes]:
     return [*(w[i : i + k] for k in PIECES if k < len(w) for i in range(len(w) - k + 1)), w]
 
 
-def _dictionary(spans: list[bytes], size: int) -> bytes:
-    """Trained by zstandard where the samples suffice for it, else the most frequent spans themselves."""
-    import zstandard
+class Spans:
+    """Spans as numbers: most repeat, and the driver holds each once."""
 
-    groups = [b"".join(spans[i : i + 8]) for i in range(0, len(spans), 8)]
-    try:
-        body = zstandard.train_dictionary(size, groups, k=SEGMENT, d=PIECE).as_bytes()
-    except zstandard.ZstdError:
-        body = b"".join(s for s, _ in reversed(Counter(spans).most_common(size // 8)))
-    return body[-size:].rjust(size, b"\0")
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.held = array("i")
+
+    def add(self, spans: Iterable[bytes]) -> None:
+        number = self.number
+        self.held.extend(number.setdefault(s, len(number)) for s in spans)
+
+    def dictionary(self, size: int, draw: Callable[[int], np.ndarray]) -> bytes:
+        """Trained by zstandard on the spans in random order where they suffice for it, else the most frequent spans themselves."""
+        import zstandard
+
+        names, drawn = list(self.number), np.frombuffer(self.held, np.int32) if self.held else np.empty(0, np.int32)
+        drawn = drawn[draw(len(drawn))]
+        groups = [b"".join([names[i] for i in drawn[k : k + 8].tolist()]) for k in range(0, len(drawn), 8)]
+        try:
+            body = zstandard.train_dictionary(size, groups, k=SEGMENT, d=PIECE).as_bytes()
+        except zstandard.ZstdError:
+            most = np.argsort(-np.bincount(drawn, minlength=len(names)), kind="stable")[: size // 8]
+            body = b"".join(names[i] for i in most[::-1].tolist())
+        return body[-size:].rjust(size, b"\0")
 
 
 @dataclass
@@ -137,10 +152,10 @@ def train_dictionaries(texts: list[Text], count: tuple[Counter, Counter], seed:
     n = [max(1, sum(y == k for _, y in texts)) for k in (0, 1)]
     need = max(LEAST, SHARE * n[1])
     telling = {p for p, c in count[1].items() if c >= need and c / n[1] > RATIO * (count[0][p] + 0.5) / n[0]}
-    spans, ordinary = [], []
+    spans, ordinary = Spans(), Spans()
     for text, y in texts:
         if not y:
-            ordinary += text.split()
+            ordinary.add(b" " + w + b" " for w in text.split())
             continue
         for word in text.split():
             if not telling.isdisjoint(_pieces(word)):
@@ -150,12 +165,10 @@ def train_dictionaries(texts: list[Text], count: tuple[Counter, Counter], seed:
                     for i in range(len(w) - k + 1):
                         if w[i : i + k] in telling:
                             covered[i : i + k] = b"1" * k
-                spans += [w[m.start() : m.end()] for m in re.finditer(b"1+", bytes(covered))]
+                spans.add(w[m.start() : m.end()] for m in re.finditer(b"1+", bytes(covered)))
     draw = np.random.default_rng(seed).permutation
-    spans = [spans[i] for i in draw(len(spans))]
-    ordinary = [b" " + ordinary[i] + b" " for i in draw(len(ordinary))]
-    common = _dictionary(ordinary, 2 * OWN_BYTES)
-    return Dictionaries(_dictionary(spans, OWN_BYTES) + common + CARRIER, bytes(OWN_BYTES) + common + CARRIER)
+    own, common = spans.dictionary(OWN_BYTES, draw), ordinary.dictionary(2 * OWN_BYTES, draw)
+    return Dictionaries(own + common + CARRIER, bytes(OWN_BYTES) + common + CARRIER)
 
 
 def windows(words: list[bytes]) -> list[bytes]:
