@@ -34,6 +34,8 @@ LANDMARKS = frozenset("nav footer aside form dialog menu button fieldset search"
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search tablist toolbar".split())
 CONTAINERS = frozenset("aside center details dialog div dl figure footer header menu nav ol section table ul".split())
 NAMES = frozenset("ad ads adsbygoogle adv advert advertisement advertorial alert announcement banner breadcrumb breadcrumbs byline captcha colophon comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion rail recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subnav subscribe subscription tags teaser toc toolbar topbar topnav trending warning widget".split())
+# Words that go with such a name in a compound one.
+COMPOUND = frozenset("area articles bar block body box card container content footer form group header inner item items label link links list panel post posts row section slot stories text thread title unit wrap wrapper zone".split())
 
 
 @dataclass
@@ -49,7 +51,7 @@ class Block:
 
 
 def _beside(tag: str, attributes: str, inside: bool, nested: bool) -> tuple[bool, bool]:
-    """Whether an element is, by its kind or by its name, no part of the article. inside: within an article or main element, where a header holds the title and only whole names count; nested: within an article, where another one is a comment."""
+    """Whether an element is, by its kind or by its name, no part of the article. inside: within an article or main element, where a header holds the title and of a compound name no part may say something else; nested: within an article, where another one is a comment."""
     beside = tag in LANDMARKS or (tag == "header" and not inside) or (tag == "article" and nested)
     named = False
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
@@ -63,8 +65,9 @@ def _beside(tag: str, attributes: str, inside: bool, nested: bool) -> tuple[bool
         elif name == "role":
             beside |= value in ROLES
         elif tag in CONTAINERS:
-            words = value.split()
-            named |= not NAMES.isdisjoint(words if inside else [part for w in words for part in re.split("[-_]+", w)])
+            for word in value.split():
+                parts = re.split("[-_]+", word)
+                named |= not NAMES.isdisjoint(parts) and (not inside or all(x in NAMES or x in COMPOUND for x in parts if x))
     return beside, named
 
 

@@ -59,8 +59,8 @@ def test_extraction_of_other_pages():
     plain = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div>{body}</div><div>{body}<br>{body}</div><div><a href=3>About</a></div></body>"
     assert html.main_text(plain, tree)[0] == f"{body}\n{body} {body}"
     # Names that merely contain such a word, names in other languages, a comment that is an article, a notice in the article's header.
-    page = f"""<main><article><header><h1>Title</h1><div class="notice">{body}</div></header><p class="share-price">{body}</p><p id="search-for-life">{body}</p><div class="alert-level">{body}</div>
-      <article><p>{body}</p></article></article></main><div class="seitenleiste"><p>{body}</p></div><section class="kommentare"><p>{body}</p><p>{body}</p></section>"""
+    page = f"""<main><article><header><h1>Title</h1><div class="notice">{body}</div></header><p class="share-price">{body}</p><p id="search-for-life">{body}</p><div class="alert-level">{body}</div><div class="ad-slot big">{body}</div>
+      <article><p>{body}</p></article></article><section class="comment-list">{body}</section></main><div class="seitenleiste"><p>{body}</p></div><section class="kommentare"><p>{body}</p><p>{body}</p></section>"""
     assert html.main_text(page, tree)[0] == f"Title\n{body}\n{body}\n{body}"
 
 
