@@ -190,20 +190,23 @@ class Differences:
             sizes = [[len(x) for x in c.multi_compress_to_buffer(whole)] for c in (self.ordinary, self.toxic)]
             self.known.update(zip(part, (a - b for a, b in zip(*sizes))))
 
-    def __call__(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
-        at = 0
-        while at < len(texts):
-            some, size = [], 0
-            while at < len(texts) and (not some or size + len(texts[at]) <= TOGETHER):
-                some.append(windows(texts[at]))
-                size += len(texts[at])
-                at += 1
-            if len(self.known) > MEMORY:
-                self.known.clear()
-            known = self.known
-            self._learn(list(set().union(*some).difference(known)))
-            for w in some:
-                yield -np.sort(-np.fromiter(map(known.__getitem__, w), float, len(w)))
+    def __call__(self, texts: Iterable[list[bytes]]) -> Iterator[np.ndarray]:
+        some, size = [], 0
+        for words in texts:
+            some.append(windows(words))
+            size += len(words)
+            if size > TOGETHER:
+                yield from self._of(some)
+                some, size = [], 0
+        yield from self._of(some)
+
+    def _of(self, some: list[list[bytes]]) -> Iterator[np.ndarray]:
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        known = self.known
+        self._learn(list(set().union(*some).difference(known)))
+        for w in some:
+            yield -np.sort(-np.fromiter(map(known.__getitem__, w), float, len(w)))
 
 
 def features(d: np.ndarray, thresholds: tuple[float, ...]) -> list[float]:
@@ -221,7 +224,7 @@ class ToxicityModel:
         if self.logistic is None:
             return lambda texts: [0.0] * len(texts)
         found = Differences(self.dictionaries)
-        return lambda texts: self.logistic(np.array([features(d, self.thresholds) for d in found([_words(t) for t in texts])]).reshape(len(texts), -1)).tolist()
+        return lambda texts: self.logistic(np.array([features(d, self.thresholds) for d in found(map(_words, texts))]).reshape(len(texts), -1)).tolist()
 
 
 def fit(rows: list[tuple[str, int]], folds: int = 3) -> ToxicityModel:
@@ -235,7 +238,7 @@ def fit(rows: list[tuple[str, int]], folds: int = 3) -> ToxicityModel:
     for k in range(folds):
         rest = [t for i, t in enumerate(texts) if i % folds != k]
         difference = Differences(train_dictionaries(rest, _sum(parts[:k] + parts[k + 1 :])))
-        found[k::folds] = difference([t.split() for t, _ in texts[k::folds]])
+        found[k::folds] = difference(t.split() for t, _ in texts[k::folds])
     usual = np.sort(np.concatenate([d for d, toxic in zip(found, y) if not toxic]))
     thresholds = tuple(float(usual[-1 - int(share * len(usual))]) + 1 for share in RARE)
     x = np.array([features(d, thresholds) for d in found])
