@@ -21,11 +21,13 @@ log = logging.getLogger(__name__)
 
 
 class _Article(HTMLParser):
-    """Title, canonical address and the texts of paragraphs and list items."""
+    """Title (decoded, and as the page writes it), canonical address and the texts of paragraphs and list items. A page is fed whole."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title: str | None = None
+        self.title_at: tuple[int, int] | None = None
+        self.title_to: tuple[int, int] | None = None
         self.canonical: str | None = None
         self.parts: list[list[str]] = []
         self.open = self.in_title = False
@@ -36,6 +38,10 @@ class _Article(HTMLParser):
             self.open = True
         elif tag == "title":
             self.in_title = self.title is None
+            if self.title_at is None:
+                line, at = self.getpos()
+                begun = self.get_starttag_text().split("\n")
+                self.title_at = (line + len(begun) - 1, len(begun[-1]) + at * (len(begun) == 1))
         elif tag == "link" and self.canonical is None:
             said = dict(attrs)
             if "canonical" in (said.get("rel") or "").lower().split():
@@ -46,6 +52,18 @@ class _Article(HTMLParser):
             self.open = False
         elif tag == "title":
             self.in_title = False
+            if self.title_at and self.title_to is None:
+                self.title_to = self.getpos()
+
+    def title_source(self, page: str) -> str | None:
+        """What stands between the first title's tags, character references unread; null without both."""
+        if self.title_to is None:
+            return None
+        (a, lo), (b, hi) = self.title_at, self.title_to
+        lines = page.split("\n")[a - 1 : b]
+        lines[-1] = lines[-1][:hi]
+        lines[0] = lines[0][lo:]
+        return "\n".join(lines)
 
     def handle_data(self, data):
         if self.in_title:
@@ -54,7 +72,7 @@ class _Article(HTMLParser):
             self.parts[-1] += data.split()
 
 
-_READ = pa.schema([("title", pa.string()), ("canonical", pa.string()), ("article", pa.string())])
+_READ = pa.schema([("title", pa.string()), ("title_source", pa.string()), ("canonical", pa.string()), ("article", pa.string())])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,15 +83,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader.feed(page or "")
             reader.close()
             text = "\n\n".join(" ".join(words) for words in reader.parts if words)
-            rows.append((reader.title, reader.canonical, text or page or ""))
+            rows.append((reader.title, reader.title_source(page or ""), reader.canonical, text or page or ""))
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), _READ.types)] if rows else [pa.array([], t) for t in _READ.types]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], *_READ.names])
 
 
 def read_html(pages: DataFrame, html: Column) -> DataFrame:
-    """pages with title, canonical (address) and article: paragraphs and list items parted by blank lines, or the whole text where there is none. Null pages are empty."""
+    """pages with title, title_source (the title as written, its character references unread), canonical (address) and article: paragraphs and list items parted by blank lines, or the whole text where there is none. Null pages are empty."""
     held = pages.withColumn("loamline_html", html)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), "title string, canonical string, article string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), "title string, title_source string, canonical string, article string"])
     return held.mapInArrow(_read, schema)
 
 

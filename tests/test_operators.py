@@ -336,3 +336,21 @@ def test_counts_as_rows_pass(spark):
 def test_lines_end_where_unicode_says(spark):
     got = spark.createDataFrame([("a\u2028b\r\nc\x85\n d ",)], "t string").select(answers.lines(F.col("t")).alias("x")).first().x
     assert got == ["a", "b", "c", "d"]
+
+
+def test_titles_as_written(spark, tmp_path):
+    import duckdb
+
+    from loamline.operators import ingest
+    from loamline.plans import ingest as plans
+
+    pages = [(1, "<head><title>a &amp;&amp &quot;b&lt</title></head><p>x</p>"), (2, "<p>no title</p>"), (3, "<TITLE\nid='t'>two\nlines</TITLE><title>other &amp</title><p>y"), (4, None), (5, "no paragraph")]
+    df = spark.createDataFrame([(k, f"u{k}", x) for k, x in pages], "page_id long, url string, html string")
+    got = {r.page_id: (r.title, r.title_source) for r in ingest.read_html(df.select("page_id", "html"), F.col("html")).collect()}
+    assert got == {1: ('a && "b<', "a &amp;&amp &quot;b&lt"), 2: (None, None), 3: ("two\nlines", "two\nlines"), 4: (None, None), 5: (None, None)}
+    # The query is its SQL's, with references that it does not read, without a title or paragraph, and for null.
+    df.where("page_id <> 3").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {tuple(r) for r in plans.QUERIES["u2_c18_html_text"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows == set(con.execute(plans.ORACLES["u2_c18_html_text"]).fetchall())
