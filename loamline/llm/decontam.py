@@ -93,7 +93,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     """The rows of docs that overlap no benchmark item, with all their columns. Its rows are numbered in a stored copy, so that null and repeated ids don't matter."""
     row = "loamline_row"
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
-    found = contaminated(numbered, benchmark, row, text_col).select(F.col("doc_id").alias(row)).distinct()
+    # Stored first: its size is then known, and where it is small the texts need no exchange.
+    found = stored(contaminated(numbered, benchmark, row, text_col).select(F.col("doc_id").alias(row)).distinct(), "contaminated")
     return numbered.join(found, row, "left_anti").drop(row)
 
 

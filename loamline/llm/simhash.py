@@ -392,14 +392,17 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{row} long, {posted} binary, {check} binary, {same} binary"])
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     rows = stored(numbered.mapInArrow(_set_fingerprints(k, similarity, *frequent_shingles(docs, k, text_col), docs.columns.index(text_col), [*docs.columns, row, posted, check, same]), schema), "near")
-    slim = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"), F.col(check).alias("check"), F.col(posted).alias("posted"), F.col(same).alias("same"))
-    # Equal sets are one node, and have equal fingerprints and postings.
-    nodes = stored(slim.groupBy("same", "check", "posted").agg(F.min("row").alias("id")), "nodes")
+    slim = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"), F.col(same).alias("same"))
+    # Equal sets are one node, and have equal fingerprints and postings: those of its first row. What goes from a wide table is stored first: being few as a rule, its size is known and the wide rows need no exchange.
+    each = stored(slim.groupBy("same").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    again = stored(slim.join(each.where("n > 1"), "same").where("row <> id").select("row"), "again")
+    nodes = rows.select(F.col(row).alias("id"), F.col(check).alias("check"), F.col(posted).alias("posted")).join(again, F.col("id") == again["row"], "left_anti")
     keys = nodes.select("id", "posted").mapInArrow(_posted, "key long, id long")
     met = components(_linked(keys, nodes.select("id", F.col("check").alias("fingerprint")), BLOCK, _by_bits(MIN_SHARED, MAX_BITS)))
     texts = rows.select(F.col(row).alias("id"), F.col(text_col).alias("text"))
     found = components(_linked(met.select(F.col("root").alias("key"), "id"), texts, SET_BLOCK, _by_sets(k, similarity)))
-    rooted = nodes.join(found, "id", "left").select("same", F.coalesce("root", "id").alias("root"))
+    rooted = each.join(found, "id", "left").select("same", F.coalesce("root", "id").alias("root"))
     members = slim.join(rooted, "same").select("row", "order", "root")
-    stays = members.groupBy("root").agg(F.min("order").alias("first")).select(F.col("first.row").alias(row))
-    return rows.join(stays, row, "left_semi").select(*docs.columns)
+    first = members.groupBy("root").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    goes = stored(members.join(first, "root").where("row <> first.row").select(F.col("row").alias(row)), "goes")
+    return rows.join(goes, row, "left_anti").select(*docs.columns)

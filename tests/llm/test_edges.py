@@ -117,3 +117,17 @@ def test_empty_and_odd_inputs_of_the_outputs(spark, docs, tmp_path):
 
 def test_quality_without_character_counts(spark, docs, labels):
     assert quality.quality(docs.drop("n_chars"), labels).count() == len(TEXTS)
+
+
+def test_texts_that_stay_need_no_exchange(spark):
+    from loamline.llm import decontam, simhash
+
+    # What goes is looked up where the wide rows lie: no step of the last plan deals texts out again.
+    texts = [" ".join(f"{t}w{i}" for i in range(40)) for t in "abcd"]
+    docs = spark.createDataFrame([(10 - n, x) for n, x in enumerate([*texts, texts[0], texts[1] + " more", "", None])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, texts[2])], "item_id long, text string")
+    near, clean = simhash.near_dedup(docs), decontam.decontaminate(docs, items)
+    assert {r.doc_id for r in near.collect()} == {8, 7, 6, 5, 3} and {r.doc_id for r in clean.collect()} == {10, 9, 7, 6, 5, 4, 3}
+    for df in (near, clean):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
