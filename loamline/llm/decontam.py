@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import stored
+from loamline.llm.common import marked, marks, stored
 
 #: Selected positions of each mask: weight 6, span 9.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 4, 6, 7, 8))
@@ -93,9 +93,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     """The rows of docs that overlap no benchmark item, with all their columns. Its rows are numbered in a stored copy, so that null and repeated ids don't matter."""
     row = "loamline_row"
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
-    # Stored first: its size is then known, and where it is small the texts need no exchange.
-    found = stored(contaminated(numbered, benchmark, row, text_col).select(F.col("doc_id").alias(row)).distinct(), "contaminated")
-    return numbered.join(found, row, "left_anti").drop(row)
+    found = marks(contaminated(numbered, benchmark, row, text_col).select(F.col("doc_id").alias(row)), row, "contaminated")
+    return marked(numbered, row, found, False).drop(row)
 
 
 def oracle_sql() -> str:

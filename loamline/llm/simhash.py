@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import partitions, stored, text_bytes
+from loamline.llm.common import dropped, marked, marks, partitions, stored, text_bytes
 from loamline.llm.components import components
 
 #: Rows of one block of a long list.
@@ -351,16 +351,18 @@ def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity:
     return np.concatenate([own[~late], frequent[at[np.argsort(rank[at])]]])[:n]
 
 
-def _set_fingerprints(k: int, similarity: float, frequent: np.ndarray, rank: np.ndarray, text_at: int, names: list[str]) -> Callable:
+def _set_fingerprints(k: int, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> Callable:
+    """Of (id, text): id, the shingles posted, the fingerprint and the digest of the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             posted, check, same = [], [], []
-            for text in b.column(text_at).to_pylist():
+            for text in b.column(1).to_pylist():
                 own = shingle_set(text, k)
                 posted.append(prefix(own, frequent, rank, similarity).tobytes())
                 check.append(majority(own, CHECKED_LANES))
                 same.append(xxhash.xxh3_128_digest(own.tobytes()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()) for x in (posted, check, same))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.binary()) for x in (posted, check, same))], names=["id", "posted", "check", "same"])
 
     return run
 
@@ -388,21 +390,26 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     Null texts count as empty; texts without words are near copies of each
     other. An empty table gives no rows.
     """
-    row, posted, check, same = "loamline_row", "loamline_posted", "loamline_check", "loamline_set"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{row} long, {posted} binary, {check} binary, {same} binary"])
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = stored(numbered.mapInArrow(_set_fingerprints(k, similarity, *frequent_shingles(docs, k, text_col), docs.columns.index(text_col), [*docs.columns, row, posted, check, same]), schema), "near")
-    slim = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"), F.col(same).alias("same"))
-    # Equal sets are one node, and have equal fingerprints and postings: those of its first row. What goes from a wide table is stored first: being few as a rule, its size is known and the wide rows need no exchange.
-    each = stored(slim.groupBy("same").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
-    again = stored(slim.join(each.where("n > 1"), "same").where("row <> id").select("row"), "again")
-    nodes = rows.select(F.col(row).alias("id"), F.col(check).alias("check"), F.col(posted).alias("posted")).join(again, F.col("id") == again["row"], "left_anti")
+    number = "loamline_row"
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "near")
+    texts = rows.select(F.col(number).alias("id"), F.col(text_col).alias("text"))
+    prints = stored(texts.mapInArrow(_set_fingerprints(k, similarity, *frequent_shingles(rows, k, text_col)), "id long, posted binary, check binary, same binary"), "prints")
+    # Equal sets are one node, and have equal fingerprints and postings: those of its first row.
+    each = stored(prints.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    again = marks(prints.select("id", "same").join(each.where("n > 1").select("same", F.col("id").alias("first")), "same").where("id <> first"), "id", "again")
+    nodes = marked(prints, "id", again, False)
     keys = nodes.select("id", "posted").mapInArrow(_posted, "key long, id long")
     met = components(_linked(keys, nodes.select("id", F.col("check").alias("fingerprint")), BLOCK, _by_bits(MIN_SHARED, MAX_BITS)))
-    texts = rows.select(F.col(row).alias("id"), F.col(text_col).alias("text"))
-    found = components(_linked(met.select(F.col("root").alias("key"), "id"), texts, SET_BLOCK, _by_sets(k, similarity)))
+    # Few texts have met another: only theirs are dealt out.
+    some = marks(met, "id", "met")
+    found = components(_linked(met.select(F.col("root").alias("key"), "id"), marked(texts, "id", some, True), SET_BLOCK, _by_sets(k, similarity)))
     rooted = each.join(found, "id", "left").select("same", F.coalesce("root", "id").alias("root"))
-    members = slim.join(rooted, "same").select("row", "order", "root")
-    first = members.groupBy("root").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    goes = stored(members.join(first, "root").where("row <> first.row").select(F.col("row").alias(row)), "goes")
-    return rows.join(goes, row, "left_anti").select(*docs.columns)
+    order = rows.select(F.col(number).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(number).alias("row")).alias("order"))
+    members = prints.select(F.col("id").alias("row"), "same").join(rooted, "same").select("row", "root")
+    several = members.join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "root").select("row", "root")
+    ordered = several.join(order, "row")
+    first = ordered.groupBy("root").agg(F.min("order").alias("first"))
+    goes = marks(ordered.join(first, "root").where("row <> first.row").select("row"), "row", "goes")
+    for scratch in (prints, each, again, some):
+        dropped(scratch)
+    return marked(rows, number, goes, False).select(*docs.columns)

@@ -131,3 +131,34 @@ def test_texts_that_stay_need_no_exchange(spark):
     for df in (near, clean):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_only_texts_that_meet_are_dealt_out_however_many_go(spark, monkeypatch):
+    from loamline.llm import decontam, simhash
+    from loamline.llm.common import marked, marks
+
+    numbers = [0, 1, 62, 63, 64, 127, (1 << 33), (1 << 33) + 63, (7 << 33) + 64]
+    rows = spark.createDataFrame([(n,) for n in numbers], "row long")
+    some = [0, 63, 64, (1 << 33) + 63]
+    which = marks(spark.createDataFrame([(n,) for n in some * 2], "row long"), "row", "some")
+    assert {r.row for r in marked(rows, "row", which, True).collect()} == set(some)
+    assert {r.row for r in marked(rows, "row", which, False).collect()} == set(numbers) - set(some)
+    none = marks(rows.limit(0), "row", "none")
+    assert marked(rows, "row", none, True).count() == 0 and marked(rows, "row", none, False).count() == len(numbers)
+
+    texts = [" ".join(f"{t}w{i}" for i in range(40)) for t in "abcdef"]
+    docs = spark.createDataFrame([(10 - n, x) for n, x in enumerate([*texts, texts[0], texts[1] + " more", "", None])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, texts[2])], "item_id long, text string")
+    linked, dealt = simhash._linked, []
+    monkeypatch.setattr(simhash, "_linked", lambda keys, rows, *a: ("text" in rows.columns and dealt.append(rows.count()), linked(keys, rows, *a))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if more went than may be broadcast
+    try:
+        near, clean = simhash.near_dedup(docs), decontam.decontaminate(docs, items)
+        assert {r.doc_id for r in near.collect()} == {8, 7, 6, 5, 4, 3, 1} and {r.doc_id for r in clean.collect()} == {10, 9, 7, 6, 5, 4, 3, 2, 1}
+        for df in (near, clean):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert dealt == [2]
