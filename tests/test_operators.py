@@ -354,3 +354,39 @@ def test_titles_as_written(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert rows == set(con.execute(plans.ORACLES["u2_c18_html_text"]).fetchall())
+
+
+def test_page_text_as_sql(spark, tmp_path):
+    import duckdb
+
+    from loamline.plans import relational
+
+    # Negative order keys, keys beyond a double's digits, no quantity (no centre), no supplier (no y) and pages without any text; no ties.
+    rows = [(first + k, 100 * ((k * 37 + n * 11) % 101) + k * 3 + n, (k * 53 + n * 29) % 1000, n, 1.0 + (k * 7 + n * 5) % 50) for first in (-150, 9 * 10**17) for k in range(300) for n in (1, 2, 4)]
+    rows += [(1000 + k, k * 17 % 400 + n, None if k % 7 == 1 else k * 41 % 900, n, None if k % 5 == 2 else 3.0 + k % 9) for k in range(100) for n in (2, 3)]
+    rows += [(2000 + k, None, k, 1, 5.0) for k in range(9)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    name = "s13_j7_a9_w5_t5_page_text"
+    got = {(r.document_id, r.page_number): r.text for r in relational.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {(d, p): t for d, p, t in con.execute(relational.ORACLES[name]).fetchall()}
+    assert None in got.values() and min(got)[0] == -1 and max(got)[0] == 9 * 10**15 + 2
+
+
+def test_tied_blocks_share_a_column(spark):
+    from loamline.operators import layout
+
+    # b and c have one centre and block number, and columns part after them and before them.
+    blocks = [("d", 1, 1, 0.0, 0.0, 10.0, 5.0, "a"), ("d", 1, 2, 50.0, 9.0, 60.0, 12.0, "b"), ("d", 1, 2, 50.0, 1.0, 60.0, 4.0, "c"), ("d", 1, 3, 100.0, 0.0, 110.0, 5.0, "e"), ("d", 1, 4, 101.0, 0.0, 111.0, 5.0, "f"), ("d", 1, 5, 102.0, 0.0, 112.0, 5.0, "g")]
+    schema = "document_id string, page_number int, block int, x0 double, y0 double, x1 double, y1 double, text string"
+    for rows in (blocks, blocks[::-1]):
+        got = layout.page_text(spark.createDataFrame(rows, schema), spark.createDataFrame([], schema))
+        assert [r.text for r in got.collect()] == ["a c b e f g"]
+
+
+def test_gaps_without_a_time_come_last(spark):
+    from loamline.operators import layout
+
+    rows = spark.createDataFrame([("u", 1, None, 9.0), ("u", 2, 5, 1.0), ("u", 3, 7, 4.0)], "user_id string, event_id int, ts int, value double")
+    assert {r.event_id: r.gap for r in layout.gap_before(rows, "user_id", ["ts", "event_id"], "value").collect()} == {2: None, 3: 3.0, 1: 5.0}
