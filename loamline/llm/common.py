@@ -2,12 +2,64 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of one Arrow batch, or of the part of one that a task turns into Python objects at a time (or one row, if that is larger).
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile sends Python Arrow batches of BATCH_BYTES: one of Spark's own (64 MB, or 10,000 rows) is held by the JVM, twice over as it grows, and by the worker, for each of an executor's cores."""
+    before = spark.conf.get(_BATCH_CONF, None)
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_CONF)
+        else:
+            spark.conf.set(_BATCH_CONF, before)
+
+
+def parts(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in batches of so many bytes at most, or of one row."""
+    for b in batches:
+        todo = [b]
+        del b
+        while todo:
+            part = todo.pop()
+            if part.nbytes > size and part.num_rows > 1:
+                half = part.num_rows // 2
+                todo += part.slice(half), part.slice(0, half)
+            else:
+                yield part
+            del part
+
+
+def lean(of: Callable) -> Callable:
+    """A function for mapInArrow that gets parts() of the batches; at a task's end its worker, which stays for the next stage, gives back what it no longer uses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from of(parts(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:  # glibc
+                trim(0)
+
+    return run
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +81,8 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamline.llm.common import partitions, stored, text_bytes
+from loamline.llm.common import lean, partitions, stored, text_bytes
 
 #: Distinct content that one table may hold, in bytes.
 TABLE_BYTES = 128 << 20
@@ -274,6 +274,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    once = _kept_rows(table_bytes, names, names.index(id_col), names.index(text_col), arrow)
+    once = lean(_kept_rows(table_bytes, names, names.index(id_col), names.index(text_col), arrow))
     local = docs.mapInArrow(once, schema)
     return local.repartition(partitions(docs.sparkSession), mark).mapInArrow(once, schema).drop(mark)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import stored
+from loamline.llm.common import lean, stored
 from loamline.llm.tokens import ChunkEncoder
 
 
@@ -111,7 +111,7 @@ def _cut(tokenizer_path: str, end_id: int, limit: int, keep_ids: bool) -> Callab
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limit: int = 4096, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A document's ids followed by end_id; only longer ones are cut, into pieces of limit tokens, the last one shorter: doc_id, piece, start, length, ids_crc32, and with keep_ids the ids. A null text counts as empty and gives one piece of length 1."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return src.mapInArrow(_cut(tokenizer_path, end_id, limit, keep_ids), _PIECES + (", ids array<int>" if keep_ids else ""))
+    return src.mapInArrow(lean(_cut(tokenizer_path, end_id, limit, keep_ids)), _PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def _dealt(rows: DataFrame, groups: int, level: int, cap: Capacity) -> DataFrame:

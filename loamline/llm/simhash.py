@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import dropped, marked, marks, partitions, stored, text_bytes
+from loamline.llm.common import dropped, lean, marked, marks, partitions, small_batches, stored, text_bytes
 from loamline.llm.components import components
 
 #: Rows of one block of a long list.
@@ -329,8 +329,10 @@ def _shingle_counts(k: int) -> Callable:
 def frequent_shingles(docs: DataFrame, k: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent shingles, ascending, and the rank of each, the most frequent last, counted over one text in SAMPLE. They decide only which shingles are posted, and so how long the lists are, never which pairs are found."""
     some = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = some.mapInArrow(_shingle_counts(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    most = np.array([r.shingle for r in counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()][::-1], np.int64).view(np.uint64)
+    counts = some.mapInArrow(lean(_shingle_counts(k)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    with small_batches(docs.sparkSession):
+        found = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    most = np.array([r.shingle for r in found][::-1], np.int64).view(np.uint64)
     rank = np.argsort(most)
     return most[rank], rank
 
@@ -393,7 +395,7 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     number = "loamline_row"
     rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "near")
     texts = rows.select(F.col(number).alias("id"), F.col(text_col).alias("text"))
-    prints = stored(texts.mapInArrow(_set_fingerprints(k, similarity, *frequent_shingles(rows, k, text_col)), "id long, posted binary, check binary, same binary"), "prints")
+    prints = stored(texts.mapInArrow(lean(_set_fingerprints(k, similarity, *frequent_shingles(rows, k, text_col))), "id long, posted binary, check binary, same binary"), "prints")
     # Equal sets are one node, and have equal fingerprints and postings: those of its first row.
     each = stored(prints.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
     again = marks(prints.select("id", "same").join(each.where("n > 1").select("same", F.col("id").alias("first")), "same").where("id <> first"), "id", "again")

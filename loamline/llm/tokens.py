@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Distinct chunks a task remembers before it starts anew.
-MEMORY = 1_000_000
+MEMORY = 250_000
 #: Longer chunks are encoded each time.
 LONG = 64
-#: Characters that are split up at a time, and words that are encoded in one call.
-AT_ONCE, WORDS = 1 << 20, 512
+#: Characters that are split up at a time, words that are encoded as one string, and strings in one call.
+AT_ONCE, WORDS, CALL = 1 << 20, 512, 128
 
 
 class ChunkEncoder:
@@ -39,7 +39,7 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for at in range(0, len(chunks), CALL) for e in self.tokenizer.encode_batch_fast(chunks[at : at + CALL], add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Words of letters alone, many to a call; the end-of-word tokens tell them apart."""

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.common import lean
 from loamline.llm.labelled import SAMPLE_ROWS, Logistic, fold, sample
 
 #: Words per window, of which there is one at each word; bytes of the toxic dictionary's own part (the ordinary part has twice as many); zstandard's level.
@@ -263,7 +264,7 @@ def _scored(model: ToxicityModel):
 def with_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """docs with a column loamline_score. Null texts count as empty."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "loamline_score double"])
-    return docs.withColumn("loamline_text", F.coalesce(text_col, F.lit(""))).mapInArrow(_scored(model), schema)
+    return docs.withColumn("loamline_text", F.coalesce(text_col, F.lit(""))).mapInArrow(lean(_scored(model)), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

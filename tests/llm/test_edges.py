@@ -1,10 +1,14 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and extra columns with names that operators use themselves."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamline.llm import decontam, exact, html, pack, pii, quality, shard, simhash, toxicity, wordpiece
+from loamline.llm import common, decontam, exact, html, pack, pii, quality, shard, simhash, toxicity, wordpiece
 from loamline.llm.queries import tokenizer
 
 LONG = "word " * 40_000
@@ -162,3 +166,55 @@ def test_only_texts_that_meet_are_dealt_out_however_many_go(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert dealt == [2]
+
+
+def test_stored_frames_send_python_small_batches(spark):
+    """Spark's own batches would hold 10,000 rows, 40 MB of these texts, in the JVM and in the worker of each core."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+    wide = spark.range(0, 10_000, 1, 1).select(F.lit("x" * 4000).alias("text")).mapInArrow(sizes, "n long, size long")
+    found = common.stored(wide, "small").collect()
+    assert sum(r.n for r in found) == 10_000 and max(r.size for r in found) <= common.BATCH_BYTES + 100_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def test_parts_keep_rows_and_order():
+    texts = ["x" * 10, "", None, "y" * 5000, "z" * 100] * 7
+    batch = pa.RecordBatch.from_pydict({"id": list(range(35)), "text": texts})
+    some = list(common.parts(iter([batch, batch.slice(0, 0)]), 1000))
+    assert [t for b in some for t in b.column(1).to_pylist()] == texts and [i for b in some for i in b.column(0).to_pylist()] == list(range(35))
+    assert all(b.nbytes <= 1000 or b.num_rows == 1 for b in some)
+
+
+class Caught(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stage", ["pack", "near", "frequent", "toxicity", "exact"])
+def test_pipeline_tasks_hold_few_texts_at_once(spark, monkeypatch, stage):
+    """Of an Arrow batch with 32 MB of text, a task of the pipeline turns a small part into Python objects at a time."""
+
+    def caught(self, f, schema):
+        raise Caught(f)
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", caught)
+    if stage == "near":
+        monkeypatch.setattr(simhash, "frequent_shingles", lambda *_: (np.empty(0, np.uint64), np.empty(0, int)))
+    run = {
+        "pack": lambda: pack.token_pieces(docs, tokenizer("word_bpe_49k.json"), keep_ids=False), "near": lambda: simhash.near_dedup(docs), "frequent": lambda: simhash.frequent_shingles(docs, 5, "text"),
+        "toxicity": lambda: toxicity.with_score(docs, toxicity.ToxicityModel(None, None)), "exact": lambda: exact.exact_dedup(docs),
+    }
+    with pytest.raises(Caught) as found:
+        run[stage]()
+    texts = pa.array([("x" * 60 + " ") * 130] * 4000)
+    ids = [] if stage == "frequent" else [pa.array(range(4000), pa.int64())]
+    batch = pa.RecordBatch.from_arrays([*ids, texts, *([texts] if stage == "toxicity" else [])], names=["doc_id", "text", "loamline_text"][1 - len(ids) :][: len(ids) + 1 + (stage == "toxicity")])
+    tracemalloc.start()
+    try:
+        for _ in found.value.args[0](iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 24 << 20
