@@ -385,6 +385,20 @@ def test_tied_blocks_share_a_column(spark):
         assert [r.text for r in got.collect()] == ["a c b e f g"]
 
 
+def test_tied_blocks_come_as_stored(spark, tmp_path):
+    import duckdb
+
+    from loamline.plans import relational
+
+    # Rows of one page, block, centre and y, in two files of which Spark reads the second, larger one first.
+    con = duckdb.connect()
+    (tmp_path / "lineitem.parquet").mkdir()
+    for file, first, n in (("a", 9, 1), ("b", 1, 5)):
+        con.execute(f"COPY (SELECT 300 AS l_orderkey, ({first} + {n} - i) * 500 AS l_partkey, 7 AS l_suppkey, 1 AS l_linenumber, 5.0::DOUBLE AS l_quantity FROM range({n}) b(i) ORDER BY i) TO '{tmp_path}/lineitem.parquet/{file}.parquet' (FORMAT parquet)")
+    got = relational.QUERIES["s13_j7_a9_w5_t5_page_text"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(3, 1, "w5000 w3000 w2500 w2000 w1500 w1000")]
+
+
 def test_gaps_without_a_time_come_last(spark):
     from loamline.operators import layout
 
