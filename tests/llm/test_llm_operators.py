@@ -146,6 +146,16 @@ def test_ids_are_the_tokenizers(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.texts(every)] == [e.ids for e in want]
 
 
+def test_words_before_commas_are_known_words():
+    encoder = ChunkEncoder(queries.tokenizer("word_bpe_49k.json"))
+    rng = random.Random(13)
+    every = ["Word, word. a\nword,\tword. 3, é. a"] + ["".join(rng.choice("aÉß3²ªµ .,,'!\xa0\x85\u0301 \n") for _ in range(rng.randint(1, 14))) for _ in range(6000)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoder.texts(every[:1])]
+    assert not any(len(c) > 1 and c[-1] in ",." for c in encoder.known)
+    got += [np.frombuffer(b, "<u4").tolist() for b in encoder.texts(every[1:])]
+    assert got == [e.ids for e in encoder.tokenizer.encode_batch(every, add_special_tokens=False)]
+
+
 def test_packing(spark, sf_dir, texts):
     rows = queries.op3_vector_best_fit(spark, sf_dir).toPandas()
     encoder = ChunkEncoder(queries.tokenizer("word_bpe_49k.json"))
