@@ -48,8 +48,8 @@ CARRIER = hashlib.sha512(b"carrier").digest()
 RARE = (1e-2, 1e-3, 1e-4)
 #: The regression's ridge penalty; the score at which a text counts as toxic, and the share of ordinary texts that may reach it out of fold.
 RIDGE, DECIDED, ORDINARY = 10.0, 0.7, 0.002
-#: Windows whose difference a task remembers before it starts anew, words of texts that are looked at together, and windows that are compressed in one call.
-MEMORY, TOGETHER, CALL = 100_000, 20_000, 5_000
+#: Words of texts that are looked at together, and windows that are compressed in one call.
+TOGETHER, CALL = 20_000, 5_000
 
 
 _SPACED = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
@@ -178,18 +178,25 @@ def windows(words: list[bytes]) -> list[bytes]:
 
 
 class Differences:
-    """The bytes that the toxic dictionary saves on each window of a text, the greatest first. Many windows repeat, and are compressed once."""
+    """The bytes that the toxic dictionary saves on each window of a text, the greatest first. Windows that repeat in texts looked at together are compressed once; few more would be known from texts before, which isn't worth a memory."""
 
     def __init__(self, d: Dictionaries) -> None:
         self.ordinary, self.toxic = d.compressors()
-        self.known: dict[bytes, int] = {}
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> dict[bytes, int]:
+        from zstandard import BufferWithSegments
+
+        found: dict[bytes, int] = {}
         for at in range(0, len(new), CALL):
             part = new[at : at + CALL]
-            whole = [CARRIER + b" " + w + b" " for w in part]
-            sizes = [[len(x) for x in c.multi_compress_to_buffer(whole)] for c in (self.ordinary, self.toxic)]
-            self.known.update(zip(part, (a - b for a, b in zip(*sizes))))
+            # One buffer, in which a window's carrier follows the window before: no object is made for each.
+            place = np.empty((len(part), 2), np.uint64)
+            place[:, 1] = np.fromiter(map(len, part), np.uint64, len(part)) + np.uint64(len(CARRIER) + 2)
+            place[:, 0] = np.cumsum(place[:, 1]) - place[:, 1]
+            whole = BufferWithSegments(CARRIER + b" " + (b" " + CARRIER + b" ").join(part) + b" ", place.tobytes())
+            ordinary, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(whole)), np.int64, len(part)) for c in (self.ordinary, self.toxic))
+            found.update(zip(part, (ordinary - toxic).tolist()))
+        return found
 
     def __call__(self, texts: Iterable[list[bytes]]) -> Iterator[np.ndarray]:
         some, size = [], 0
@@ -202,12 +209,9 @@ class Differences:
         yield from self._of(some)
 
     def _of(self, some: list[list[bytes]]) -> Iterator[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
-        self._learn(list(set().union(*some).difference(known)))
+        found = self._learn(list(set().union(*some)))
         for w in some:
-            yield -np.sort(-np.fromiter(map(known.__getitem__, w), float, len(w)))
+            yield -np.sort(-np.fromiter(map(found.__getitem__, w), float, len(w)))
 
 
 def features(d: np.ndarray, thresholds: tuple[float, ...]) -> list[float]:

@@ -617,6 +617,22 @@ def test_a_key_looks_only_into_the_subtrees_it_descends():
     assert any(a != b for a, b in zip(before, after)) and all(a == b for a, b in zip(before, after) if a // 400 != 3)
 
 
+def test_windows_are_compressed_as_one_by_one():
+    from loamline.llm import toxicity
+
+    rng = random.Random(21)
+    word = lambda: bytes(rng.choice(b"abcdefg\xc3\xa9") for _ in range(rng.randint(1, 9)))
+    d = toxicity.Dictionaries(*(b"".join(b" " + word() + b" " for _ in range(3000)).ljust(24_576, b"x")[:24_576] + toxicity.CARRIER for _ in range(2)))
+    texts = [[], [b"a"], [b"a", b"a", b"a", b"a"], *([word() for _ in range(700)] for _ in range(40))]
+    found = toxicity.Differences(d)
+    got = list(found(texts))
+    ordinary, toxic = d.compressors()
+    for words, have in zip(texts, got, strict=True):
+        whole = [toxicity.CARRIER + b" " + w + b" " for w in toxicity.windows(words)]
+        assert have.tolist() == sorted((float(len(ordinary.compress(w)) - len(toxic.compress(w))) for w in whole), reverse=True)
+    assert not any(isinstance(x, dict) and x for x in vars(found).values())  # a task holds no windows of earlier texts
+
+
 # ---------------------------------------------------------------- 9
 
 
